@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that count as white space between words.
@@ -74,6 +74,19 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *more)
 
 
+def row_key(i: Column, digest: Column) -> Column:
+    """One text for an id, null or not, and a digest of the row's text."""
+    return F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), digest)
+
+
+def keep_rows(docs: DataFrame, key: Column, kept: DataFrame, first: Column | None = None) -> DataFrame:
+    """All columns of the ``docs`` whose key is among ``kept``'s only column; of rows that share a key, the first by ``first``."""
+    own, other = "__meshloom_key", kept.toDF("__meshloom_kept")
+    found = docs.withColumn(own, key).join(other, F.col(own) == F.col("__meshloom_kept"), "left_semi")
+    place = F.row_number().over(Window.partitionBy(own).orderBy(F.lit(0) if first is None else first))
+    return found.withColumn("__meshloom_place", place).where("__meshloom_place = 1").select(*[found[c] for c in docs.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -100,7 +100,7 @@ def _sketch(words: int, bands: int, rows: int):
                     b = band_keys(minima([sets[k] for k in full], bands * rows), bands, rows)
                     for k, row in zip(full, b, strict=True):
                         keys[k], bits[k] = _set_key(sets[k]), row.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], names=["id", "n", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), part.column(2)], names=["id", "n", "set_key", "bands", "sha"])
 
     return run
 
@@ -225,14 +225,15 @@ def _large(sets: DataFrame, buckets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each of ``docs``: its id, n_shingles, component_id and kept.
+    """One row for each of ``docs``: its id, n_shingles, component_id, kept and its text's digest.
 
     Texts are linked when threshold[1] * |intersection| >= threshold[0] *
     |union| of their shingle sets; a component's smallest id names it.
     """
     num, den = threshold
     texts = id_and_text(docs, id_col, text_col)
-    made = spool(texts.mapInArrow(_sketch(words, bands, rows), "id long, n long, set_key binary, bands binary"), "sketches")
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    made = spool(texts.withColumn("sha", digest).mapInArrow(_sketch(words, bands, rows), "id long, n long, set_key binary, bands binary, sha string"), "sketches")
     full = made.where("id is not null and n > 0")
     classes = full.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("bands").alias("bands"))
     classes = spool(classes, "classes")
@@ -253,4 +254,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = made.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(named, ["set_key", "salt"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -53,7 +53,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         over = starts[a:b] < base  # only the first can begin in an earlier chunk
         if over.any():
             for k in np.flatnonzero(over):
-                part[k] *= np.uint64(pow(_MULTIPLIER, int(base - starts[a + k]), 1 << 64))
+                part[k] = int(part[k]) * pow(_MULTIPLIER, int(base - starts[a + k]), 1 << 64) & 0xFFFFFFFFFFFFFFFF
         out[a:b] += part
     return mix(out ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
