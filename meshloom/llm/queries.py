@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshloom.llm import exact_dedup, fingerprints, html_text, language_id, minhash, packing, personal_data, substring_dedup, token_files
+from meshloom.llm import exact_dedup, fingerprints, html_text, language_id, minhash, packing, personal_data, piece_matching, substring_dedup, token_files
 from meshloom.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_matching.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
