@@ -13,45 +13,65 @@ import numpy as np
 
 #: A character that this vocabulary encodes as one id; words that hold it are encoded alone.
 MARK = "\x01"
+#: Signs that the pre-tokenizer parts from a letter before them; an apostrophe may join to what follows.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
-class WordIds(dict):
+class WordIds:
     """Word (bytes) to its ids, packed as little-endian unsigned 32-bit integers.
 
     Two generations bound the memory: when the young one exceeds ``limit``
     bytes it becomes the old one, and the old one goes.
     """
 
-    def __init__(self, path: str, limit: int = 64 << 20):
+    def __init__(self, path: str, limit: int = 120 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encoder, self.limit, self.size, self.old = Tokenizer.from_file(path), limit, 0, {}
+        self.encoder, self.limit, self.size = Tokenizer.from_file(path), limit, 0
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         mark = self._ids(MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def __missing__(self, word: bytes) -> bytes:
-        found = self[word] = self.old[word]
-        self.size += len(word) + len(found) + 150
-        return found
-
     def learn(self, words: set[bytes]) -> None:
-        """Encode the words that aren't known; afterwards all given ones are."""
+        """Encode the words that aren't known; afterwards all given ones are.
+
+        A word that ends in ASCII signs after an ASCII letter is put together
+        from its parts: the pre-tokenizer parts them too.
+        """
         if self.size > self.limit:
-            self.old, self.size = dict(self), 0
-            self.clear()
-        new = [w for w in words if w not in self and w not in self.old]
-        alone = [w for w in new if self.mark is None or b"\x01" in w or b"<|" in w]
-        together = [w for w in new if b"\x01" not in w and b"<|" not in w] if self.mark is not None else []
-        for w in alone:
+            self.old, self.young, self.size = self.young, {}, 0
+        new = self._unknown(words)
+        parts = {}
+        for w in new:
+            core = w.rstrip(SIGNS)
+            if core and core != w and core[-1:].isalpha():
+                parts[w] = (core, w[len(core) :])
+        lone = new.difference(parts)
+        lone.update(x for pair in parts.values() for x in pair)
+        self._encode(self._unknown(lone))
+        for w, (core, signs) in parts.items():
+            self._keep(w, self.young[core] + self.young[signs])
+
+    def _unknown(self, words: set[bytes]) -> set[bytes]:
+        """Those that neither generation has; what the old one has goes to the young one."""
+        new, old = words.difference(self.young), self.old
+        known = [w for w in new if w in old]
+        for w in known:
+            self._keep(w, old[w])
+        return new.difference(known) if known else new
+
+    def _encode(self, words: set[bytes]) -> None:
+        together = [w for w in words if b"\x01" not in w and b"<|" not in w] if self.mark is not None else []
+        for w in words if self.mark is None else words.difference(together):
             self._keep(w, self._ids(w.decode("utf-8", "replace")).tobytes())
-        for k in range(0, len(together), 500):
-            part = together[k : k + 500]
-            ids = self._ids(f" {MARK} ".join(w.decode("utf-8", "replace") for w in part))
+        texts = [f" {MARK} ".join([w.decode("utf-8", "replace") for w in together[k : k + 500]]) for k in range(0, len(together), 500)]
+        for k, found in enumerate(self.encoder.encode_batch_fast(texts, add_special_tokens=False)):
+            part, ids = together[500 * k : 500 * k + 500], np.array(found.ids, dtype="<u4")
             packed, cut, at = ids.tobytes(), np.flatnonzero(ids == self.mark), 0
             assert len(cut) == len(part) - 1, "the mark must stand alone"
             for w, end in zip(part, (*(cut * 4).tolist(), len(packed)), strict=True):
@@ -59,16 +79,17 @@ class WordIds(dict):
                 at = end + 4
 
     def _keep(self, word: bytes, ids: bytes) -> None:
-        self[word] = ids
+        self.young[word] = ids
         self.size += len(word) + len(ids) + 150
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
+        # The vocabulary knows lower case only; a special token's string must not arise here, though.
+        words = (text if b"<|" in text else text.lower()).split()
         try:
-            return b"".join(map(self.__getitem__, words))
+            return b"".join(map(self.young.__getitem__, words))
         except KeyError:
             self.learn(set(words))
-            return b"".join(map(self.__getitem__, words))
+            return b"".join(map(self.young.__getitem__, words))
 
 
 _kept: dict[str, WordIds] = {}
