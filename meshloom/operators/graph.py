@@ -160,8 +160,11 @@ def propagate_to(m: MeshMap, sources: DataFrame) -> DataFrame:
 
 
 def propagate_all(mesh: Mesh, vectors: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Vectors of all sets that maps lead to from those given, by the cheapest map first."""
-    out = dict(vectors)
+    """Vectors of all sets that maps lead to from those given, by the cheapest map first.
+
+    From sources to targets only a map that names every target will do.
+    """
+    out, onto = dict(vectors), {}
     while True:
         options = []
         for m in mesh.maps.values():
@@ -169,7 +172,10 @@ def propagate_all(mesh: Mesh, vectors: dict[str, DataFrame]) -> dict[str, DataFr
             if t in out and s not in out:
                 options.append((0 if m.dim == 1 else 1, m.name, True))
             elif s in out and t not in out:
-                options.append((2, m.name, False))
+                if m.name not in onto:
+                    onto[m.name] = mesh.is_onto(m)
+                if onto[m.name]:
+                    options.append((2, m.name, False))
         if not options:
             return out
         _, name, down = min(options)
