@@ -49,7 +49,7 @@ class WordIds:
         parts = {}
         for w in new:
             core = w.rstrip(SIGNS)
-            if core and core != w and core[-1:].isalpha():
+            if core and core != w and core[-1:].isalpha() and b"<|" not in w:
                 parts[w] = (core, w[len(core) :])
         lone = new.difference(parts)
         lone.update(x for pair in parts.values() for x in pair)
