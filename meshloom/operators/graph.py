@@ -243,9 +243,9 @@ def partial_halo(mesh: Mesh, target: MeshSet, vectors: dict[str, DataFrame], lea
         if m.target is target and m.source.name in vectors:
             parts.append(halo(m, vectors[m.source.name], vectors[target.name]).select(F.lit(m.name).alias("map_name"), "part", "id"))
     each = reduce(DataFrame.unionByName, parts)
+    whole = each.select("part", "id").distinct().count()
     own = each.groupBy("map_name").agg(F.count("*").alias("crossing"))
-    whole = each.select("part", "id").distinct().agg(F.count("*").alias("halo"))
-    return own.crossJoin(F.broadcast(whole)).select("map_name", "crossing", "halo", (F.col("crossing") < F.col("halo") * least).alias("partial"))  # one row on the right
+    return own.select("map_name", "crossing", F.lit(whole).cast("bigint").alias("halo"), (F.col("crossing") < whole * least).alias("partial"))
 
 
 # Renumbering --------------------------------------------------------------------
