@@ -23,11 +23,24 @@ def _slots(m: MeshMap) -> DataFrame:
 def adjacency(m: MeshMap) -> DataFrame:
     """(a, b), a <> b: target elements that a source element names together."""
     if m.dim < 2:
-        raise MeshError(f"map {m.name} has one slot; take shared_sources for elements tied by a common one")
+        raise MeshError(f"map {m.name} has one slot; dual_graph ties elements through another map")
     pairs = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in m.columns for y in m.columns if x != y]
     return m.source.frame.select(F.explode(F.array(*pairs)).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
 
 
+def dual_graph(ends: MeshMap, through: MeshMap) -> DataFrame:
+    """(a, b), a <> b: targets of ``ends`` that some element of ``through``'s target set ties, by maps from one set.
+
+    Each end counts once for each tie before the ties are joined, so the work
+    follows the distinct ends of a tie; the pairs are the result.
+    """
+    if ends.source is not through.source:
+        raise MeshError(f"{ends.name} and {through.name} come from different sets")
+    frame = ends.source.frame
+    tied = frame.select(F.explode(F.array(*through.columns)).alias("t"), F.array(*ends.columns).alias("e")).select("t", F.explode("e").alias("a")).distinct()
+    return tied.join(tied.withColumnRenamed("a", "b"), "t").where("a <> b").select("a", "b").distinct()
+
+
 def degree(m: MeshMap) -> DataFrame:
     """(id, degree) of every target element in the adjacency."""
     found = adjacency(m).groupBy("a").agg(F.count("*").alias("degree"))

@@ -576,6 +576,12 @@ def q60_write_conflicts(spark, sf_dir):
     return conflicts(mesh.sets["orders"], arg_dat(_dat(mesh, "customer", "c_acctbal"), 0, mesh.maps["orders_customer"], WRITE))
 
 
+@_query("SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_suppkey <> y.l_suppkey")
+def q61_dual_graph(spark, sf_dir):
+    mesh = table_mesh(spark, sf_dir, "orders", "supplier", "lineitem")
+    return graph.dual_graph(mesh.maps["lineitem_supplier"], mesh.maps["lineitem_orders"])
+
+
 @_query()
 def q70_jacobi_grid(spark, sf_dir):
     from meshloom.plans import apps
