@@ -10,8 +10,9 @@ component. Links are confirmed on full sets:
 * a component of bounded size is read by one task, which compares its pairs,
   the signatures first, and skips pairs already connected;
 * a larger one is compared with one pivot after another, dealt by salt; what
-  pivots leave in different clusters but in one bucket is then compared pair by
-  pair, the bucket's smaller clusters against the rest of it.
+  no pivot of the largest cluster has taken is a query set, dealt in blocks,
+  that is held against blocks of the whole component inside tasks of bounded
+  size: signatures first, then exact counts from the block's inverted index.
 
 Pairs that are already connected aren't expanded, no candidate is capped.
 
@@ -33,12 +34,14 @@ from meshloom.llm.components import components
 from meshloom.llm.shingles import lower, mix, shingle_sets, texts_of
 
 BANDS, ROWS = 32, 6
-#: Agreement of signatures below which a pair can't reach a threshold t: t less ten standard errors.
-SLACK = 0.26
+#: Signatures that agree by less than the threshold less this rule a pair out: five standard errors and more.
+SLACK = 0.15
 #: A candidate component up to these sizes is compared in one task.
 SMALL_NODES, SMALL_SHINGLES = 64, 2_000_000
 PIVOTS = 3
 SALTS = 16
+#: Queries, members and members' shingles of a block in a larger component, on the average.
+BLOCK_QUERIES, BLOCK_NODES, BLOCK_SHINGLES = 256, 2048, 1_000_000
 #: Shingles that are hashed at a time, for the CPU's cache.
 BLOCK = 1 << 14
 _DRAW = np.random.default_rng(7)
@@ -196,11 +199,51 @@ def _pairs(num: int, den: int):
     return run
 
 
-def _large(sets: DataFrame, buckets: DataFrame, num: int, den: int) -> DataFrame:
+def _blocks(num: int, den: int):
+    """Links of the queries of a block to its members, one to each other cluster; rows come in order of the block."""
+    least = num / den - SLACK
+
+    def settle(queries, members):
+        if not queries or not members:
+            return
+        ids, clusters, sizes = (np.array([m[k] for m in members], dtype=np.int64) for k in (0, 1, 2))
+        sigs = np.stack([m[3] for m in members])
+        tokens, owner = np.concatenate([m[4] for m in members]), np.repeat(np.arange(len(members)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        for i, c, n, sig, own in queries:
+            may = ((sigs == sig).mean(axis=1) >= least) & (clusters != c)
+            if not may.any():
+                continue
+            lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            count = hi - lo
+            at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            both = np.bincount(owner[at], minlength=len(members))
+            found = np.flatnonzero(may & (den * both >= num * (n + sizes - both)))
+            _, first = np.unique(clusters[found], return_index=True)
+            for k in found[first].tolist():
+                yield i, int(ids[k])
+
+    def run(batches):
+        block, queries, members, out = None, [], [], []
+        for batch in batches:
+            for root, q, m, query, i, c, sig, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (root, q, m) != block:
+                    out += settle(queries, members)
+                    block, queries, members = (root, q, m), [], []
+                own = np.frombuffer(own, np.uint64)
+                (queries if query else members).append((i, c, len(own), np.frombuffer(sig, np.uint8), own))
+            yield _edges(out)
+            out = []
+        yield _edges(list(settle(queries, members)))
+
+    return run
+
+
+def _large(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links that connect what is connected in the components too large for a task."""
-    spark = sets.sparkSession
     big = sets.where("not small").select("id", "root", "sig", "shingles")
-    links, open_, clusters = None, big, None
+    links, open_ = None, big
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     for _ in range(PIVOTS):
         pivots = open_.groupBy("root").agg(F.min("id").alias("p"))
@@ -210,18 +253,20 @@ def _large(sets: DataFrame, buckets: DataFrame, num: int, den: int) -> DataFrame
         links = found if links is None else links.unionByName(found)
         done = found.select(F.col("v").alias("id")).unionByName(pivots.select(F.col("p").alias("id")))
         open_ = open_.join(done, "id", "left_anti")
-    # Clusters so far, a node that no pivot has taken being its own; only buckets that hold several go on.
-    clusters = big.select("id").join(links.select(F.col("v").alias("id"), F.col("u").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("c"))
-    rows = spool(buckets.join(clusters, "id"), "bucket-clusters")
-    sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("top.c").alias("main"))
-    mixed = rows.join(main, "bucket")
-    few = mixed.where("c <> main").select("bucket", F.col("id").alias("u"), F.col("c").alias("cu"))
-    pairs = few.join(mixed.select("bucket", F.col("id").alias("v"), "c", "main"), "bucket").where("cu <> c and (c = main or u < v)").select("u", "v").distinct()
-    a = big.select(F.col("id").alias("u"), F.col("sig").alias("s"), F.col("shingles").alias("a"))
-    b = big.select(F.col("id").alias("v"), F.col("sig").alias("t"), F.col("shingles").alias("b"))
-    rest = pairs.join(a, "u").join(b, "v").select("u", "s", "a", "v", "t", "b").mapInArrow(_pairs(num, den), "u long, v long")
-    return links.unionByName(spool(rest, "bucket-links"))
+    # Clusters so far; a node that no pivot has taken is its own. All but those of the largest cluster are queries.
+    clusters = big.join(links.select(F.col("v").alias("id"), F.col("u").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    sizes = clusters.groupBy("root", "c").agg(F.count("*").alias("n"), F.sum(F.length("shingles") / 8).alias("s"))
+    plan = sizes.groupBy("root").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > top.n")
+    blocks = lambda x, most: F.greatest(F.lit(1), F.ceil(x / most)).cast("int")
+    plan = plan.select("root", F.col("top.c").alias("main"), blocks(F.col("n") - F.col("top.n"), BLOCK_QUERIES).alias("qs"), F.greatest(blocks(F.col("n"), BLOCK_NODES), blocks(F.col("s"), BLOCK_SHINGLES)).alias("ms"))
+    rows = clusters.join(plan, "root")
+    place = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["root", "q", "m", "query", "id", "c", "sig", "shingles"]
+    queries = rows.where("c <> main").withColumn("q", place("qs", 1)).withColumn("m", each("ms")).withColumn("query", F.lit(True))
+    members = rows.withColumn("m", place("ms", 2)).withColumn("q", each("qs")).withColumn("query", F.lit(False))
+    dealt = queries.select(*columns).unionByName(members.select(*columns)).repartition("root", "q", "m").sortWithinPartitions("root", "q", "m")
+    return links.unionByName(spool(dealt.mapInArrow(_blocks(num, den), "u long, v long"), "block-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -249,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = spool(texts.join(chosen, "id").select("id", "text", "root", "small").mapInArrow(_sets(words, bands * rows), "id long, root long, small boolean, sig binary, shingles binary"), "sets")
     links = sets.where("small").select("root", "id", "sig", "shingles").repartition("root").sortWithinPartitions("root", "id").select("id", "root", "sig", "shingles").mapInArrow(_small(num, den), "u long, v long")
     if not sets.where("not small").isEmpty():
-        links = links.unionByName(_large(sets, shared.select("bucket", "id"), num, den))
+        links = links.unionByName(_large(sets, num, den))
     found = components(links)
     named = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = made.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(named, ["set_key", "salt"], "left")
