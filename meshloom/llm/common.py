@@ -39,7 +39,22 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.meshloom_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of ours in the shared folder."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete spooled tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.meshloom_path)
 
 
 def filesystem(uri: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import scratch
+from meshloom.llm.common import remove, scratch
 
 #: A hub's edges meet its smallest neighbour in this many tasks.
 SALTS = 8
@@ -35,11 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is one written table in the shared folder; the loop ends when a
     round changes nothing. Its rounds grow with the logarithm of the nodes.
     """
-    spark, mark = edges.sparkSession, None
+    spark, mark, old = edges.sparkSession, None, None
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     while True:
         seen, path = Observation(), scratch(spark, "stars")
         _small_star(_large_star(now)).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).write.parquet(path)
+        if old is not None:  # this round has read it
+            remove(spark, old)
+        old = path
         now, at = spark.read.schema("u long, v long").parquet(path), (seen.get["n"], seen.get["s"])
         if at == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import id_and_text, spool
+from meshloom.llm.common import drop, id_and_text, spool
 from meshloom.llm.components import components
 from meshloom.llm.shingles import lower, mix, shingle_sets, texts_of
 
@@ -285,6 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exploded = spool(classes.select(F.col("rep").alias("id"), "bands").mapInArrow(_unpack, "bucket long, id long"), "buckets")
     top = exploded.groupBy("bucket").agg(F.min("id").alias("top"), F.count("*").alias("k")).where("k > 1").select("bucket", "top", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("salt"))
     shared = spool(exploded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int")).join(top, ["bucket", "salt"]).select("bucket", "id", "top"), "shared-buckets")
+    drop(exploded)
     nodes = components(shared.select(F.col("id").alias("u"), F.col("top").alias("v")))
     nodes = nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
     weight = nodes.join(classes.select(F.col("rep").alias("node"), "n"), "node").groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
@@ -292,10 +293,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = nodes.join(weight, "root").select(F.col("node").alias("id"), "root", "small")
     # An id that several rows have goes with each of its texts.
     sets = spool(texts.join(chosen, "id").select("id", "text", "root", "small").mapInArrow(_sets(words, bands * rows), "id long, root long, small boolean, sig binary, shingles binary"), "sets")
+    drop(shared)
     links = sets.where("small").select("root", "id", "sig", "shingles").repartition("root").sortWithinPartitions("root", "id").select("id", "root", "sig", "shingles").mapInArrow(_small(num, den), "u long, v long")
     if not sets.where("not small").isEmpty():
         links = links.unionByName(_large(sets, num, den))
     found = components(links)
+    drop(sets)
     named = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = made.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(named, ["set_key", "salt"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
