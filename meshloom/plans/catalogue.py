@@ -489,7 +489,7 @@ def q48_temp_overlay(spark, sf_dir):
     return out
 
 
-@_query("SELECT label AS id, " + ", ".join(f"CAST(sum(CAST(round(embedding[{d + 1}] * 10000) AS BIGINT)) AS BIGINT) AS s{d}" for d in range(64)) + " FROM embeddings GROUP BY label")
+@_query("SELECT label AS id, " + ", ".join(f"CAST(sum(CAST(round(CAST(embedding[{d + 1}] AS DOUBLE) * 10000) AS BIGINT)) AS BIGINT) AS s{d}" for d in range(64)) + " FROM embeddings GROUP BY label")
 def q49_embed_inc64(spark, sf_dir):
     mesh = table_mesh(spark, sf_dir, "embeddings")
     vectors = mesh.sets["embeddings"]
