@@ -180,20 +180,34 @@ class WordLabels(dict):
         self.used += len(new)
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """(texts, labels + 1): the sums over the positions of each text's words, and the positions."""
+        """(texts, labels + 1): the sums over the positions of each text's words, and the positions.
+
+        The words of all the texts that aren't known are labelled together.
+        """
+        words = [text.split() for text in texts]
+        known: set[bytes] = set()
+        known.update(*words)
+        self.learn(known)
         out = np.zeros((len(texts), self.table.shape[1]), np.float64)
-        for k, text in enumerate(texts):
-            words = text.split()
-            try:
-                rows = list(map(self.__getitem__, words))
-            except KeyError:
-                self.learn(set(words))
-                rows = list(map(self.__getitem__, words))
-            if rows:
-                out[k] = self.table[rows].sum(axis=0, dtype=np.float64)
+        for k, own in enumerate(words):
+            if own:
+                out[k] = self.table[list(map(self.__getitem__, own))].sum(axis=0, dtype=np.float64)
         return out
 
 
+def slices(texts: list[bytes], rows: int = 600, size: int = 4 << 20):
+    """Runs of texts of bounded number and bytes."""
+    held, total = [], 0
+    for t in texts:
+        if held and (len(held) >= rows or total + len(t) > size):
+            yield held
+            held, total = [], 0
+        held.append(t)
+        total += len(t)
+    if held:
+        yield held
+
+
 def held_out(i: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(i.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
@@ -247,9 +261,8 @@ def _labels(net: ByteGru) -> WordLabels:
 def predict(net: ByteGru | None, texts: list[bytes]) -> list[tuple[str, float]]:
     if net is None:
         return [(UNKNOWN, 0.0)] * len(texts)
-    sums = _labels(net).pooled(texts)
-    out = []
-    for own in sums:
+    labels, out = _labels(net), []
+    for own in (row for part in slices(texts) for row in labels.pooled(part)):
         if not own[-1]:
             out.append((UNKNOWN, 0.0))
             continue
