@@ -62,10 +62,6 @@ _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 #: Two spelled digits or more in a row, a plus before them or not.
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[\x20\t-]{{1,3}})?(?:{_WORD})(?:[\x20\t-]{{1,3}}(?:{_WORD}))+(?![A-Za-z])", re.IGNORECASE)
 _ONE = re.compile(rf"(plus|{_WORD})([\x20\t-]{{0,3}})", re.IGNORECASE)
-# A text without any of these words, signs or characters holds no disguise.
-_SPELLED_WORDS = frozenset(w.encode() for w in DIGITS)
-_SIGNS = tuple(a + c + b for a, b in ("[]", "()", "{}", "<>") for c in ".@")
-_LETTERS = bytes(c | 0x20 if 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
 def luhn(digits: str) -> bool:
@@ -119,12 +115,14 @@ class Tape:
 
     def __init__(self, text: str):
         self.text = text
-        self.spans: list[tuple[int, int, bool]] = [(k, k + 1, False) for k in range(len(text))]
+        self.spans: list[tuple[int, int, bool]] | None = None  # none while nothing is rewritten
 
     def rewrite(self, changes: list[tuple[int, int, str]]) -> None:
         """Replace [start, end) of this tape by strings, in order; a string's characters all stand for that source."""
         if not changes:
             return
+        if self.spans is None:
+            self.spans = [(k, k + 1, False) for k in range(len(self.text))]
         text, spans, at = [], [], 0
         for a, b, new in changes:
             text += [self.text[at:a], new]
@@ -136,7 +134,8 @@ class Tape:
 
 
 def homoglyphs(tape: Tape) -> None:
-    tape.rewrite([(m.start(), m.end(), HOMOGLYPHS.get(m.group(), "")) for m in _ODD.finditer(tape.text)])
+    if not tape.text.isascii():
+        tape.rewrite([(m.start(), m.end(), HOMOGLYPHS.get(m.group(), "")) for m in _ODD.finditer(tape.text)])
 
 
 def spelled_digits(tape: Tape) -> None:
@@ -174,13 +173,12 @@ TRANSDUCERS = (homoglyphs, spelled_digits, disguised_signs)
 
 
 def disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans in the source of identifiers that only the rewritten text shows."""
-    words = set(text.encode().translate(_LETTERS).split())
-    if not ((not text.isascii() and _ODD.search(text)) or b"dot" in words or not _SPELLED_WORDS.isdisjoint(words) and _SPELLED.search(text) or any(x in text for x in _SIGNS)):
-        return []
+    """Spans in the source of identifiers that only the rewritten text shows; none where no transducer changes the text."""
     tape = Tape(text)
     for step in TRANSDUCERS:
         step(tape)
+    if tape.spans is None:
+        return []
     out = []
     for kind, a, b in find(tape.text):
         own = tape.spans[a:b]

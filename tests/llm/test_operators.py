@@ -328,6 +328,26 @@ def test_disguises_map_back(text, kind, shown):
     assert shown not in personal_data.mask(text) and f"[{kind.upper()}]" in personal_data.mask(text)
 
 
+@pytest.mark.parametrize("beside", ["", "look, a dot. ", "four one, "])
+@pytest.mark.parametrize(
+    ("kind", "shown"),
+    [
+        ("email", "joe [at] example.com"),
+        ("email", "joe(at)example.com"),
+        ("email", "joe @ example.com"),
+        ("email", "joe [ @ ] example.com"),
+        ("email", "joe{AT}mail.example.com"),
+        ("ip", "1 [ . ] 2.3.4"),
+        ("ip", "1.2.3 ( dot ) 4"),
+    ],
+)
+def test_a_single_disguised_sign_is_found_whatever_stands_beside_it(kind, shown, beside):
+    text = f"{beside}to {shown}, now"
+    plain, more = personal_data.detect(text)
+    assert [(k, text[a:b]) for k, a, b in more] == [(kind, shown)] and not plain
+    assert personal_data.mask(text) == f"{beside}to [{kind.upper()}], now"
+
+
 def test_personal_data_query(spark):
     rows = odd_rows() + [(80, "a@b.co x 1.2.3.4 x 4111 1111 1111 1111 x +1 (487) 555-7209 x 1.2.3.400"), (81, "look at one dot"), (82, "four one")]
     got = {(r["doc_id"], r["spans"]): r for r in personal_data.personal_data(documents(spark, rows)).collect()}
