@@ -54,6 +54,7 @@ def _homoglyphs() -> dict[str, str]:
 
 HOMOGLYPHS = _homoglyphs()
 _ODD = re.compile("[" + re.escape("".join(HOMOGLYPHS) + INVISIBLE) + "]")
+_ODD_SET = frozenset(HOMOGLYPHS) | frozenset(INVISIBLE)
 _PLACE = r"[\x20\t]{0,3}"
 _OPEN, _CLOSE = rf"{_PLACE}[\[({{<]{_PLACE}", rf"{_PLACE}[\])}}>]{_PLACE}"
 _AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}|[\x20\t]{{1,3}}(?:at|@)[\x20\t]{{1,3}}", re.IGNORECASE)
@@ -62,6 +63,12 @@ _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 #: Two spelled digits or more in a row, a plus before them or not.
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[\x20\t-]{{1,3}})?(?:{_WORD})(?:[\x20\t-]{{1,3}}(?:{_WORD}))+(?![A-Za-z])", re.IGNORECASE)
 _ONE = re.compile(rf"(plus|{_WORD})([\x20\t-]{{0,3}})", re.IGNORECASE)
+#: A spelled digit beside a numeral, and a run of both, a plus before it or not.
+_LONE = rf"(?<![A-Za-z])(?:{_WORD})(?![A-Za-z])"
+_MIXED = re.compile(rf"[0-9][\x20\t-]{{0,3}}{_LONE}|{_LONE}[\x20\t-]{{0,3}}[0-9]", re.IGNORECASE | re.ASCII)
+_RUN = re.compile(rf"(?:(?<![A-Za-z])plus[\x20\t-]{{1,3}})?(?:{_LONE}|[0-9]++)(?:[\x20\t-]{{0,3}}(?:{_LONE}|[0-9]++))+", re.IGNORECASE | re.ASCII)
+_ITEM = re.compile(r"[A-Za-z]+|[0-9]+")
+_HOST_SO_FAR = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 
 
 def luhn(digits: str) -> bool:
@@ -134,7 +141,7 @@ class Tape:
 
 
 def homoglyphs(tape: Tape) -> None:
-    if not tape.text.isascii():
+    if not tape.text.isascii() and not _ODD_SET.isdisjoint(tape.text):
         tape.rewrite([(m.start(), m.end(), HOMOGLYPHS.get(m.group(), "")) for m in _ODD.finditer(tape.text)])
 
 
@@ -148,8 +155,21 @@ def spelled_digits(tape: Tape) -> None:
     tape.rewrite(changes)
 
 
+def mixed_digits(tape: Tape) -> None:
+    """Spelled digits among numerals or each other become digits on end; what joins a word to its neighbour goes, what joins two numerals stays."""
+    changes = []
+    for m in _RUN.finditer(tape.text):
+        items = list(_ITEM.finditer(tape.text, m.start(), m.end()))
+        for x, y in zip(items, [*items[1:], None], strict=True):
+            if x.group().isalpha():
+                changes.append((x.start(), y.start() if y else x.end(), DIGITS.get(x.group().lower(), "+")))
+            elif y and y.group().isalpha() and x.end() < y.start():
+                changes.append((x.end(), y.start(), ""))
+    tape.rewrite(changes)
+
+
 def disguised_signs(tape: Tape) -> None:
-    """``at`` and ``dot`` in brackets are signs anywhere; bare, only where a bare or bracketed ``dot`` follows in the same address."""
+    """``at`` and ``dot`` in brackets are signs anywhere; bare, ``at`` only where a bare or bracketed ``dot`` follows in the same address, after plain dots or none."""
     dots = [(m.start(), m.end()) for m in _DOT.finditer(tape.text)]
     changes = []
     for a, b in dots:
@@ -161,7 +181,7 @@ def disguised_signs(tape: Tape) -> None:
         if not a or b >= len(tape.text) or not (tape.text[a - 1].isalnum() and tape.text[b].isalnum()):
             continue
         plain = tape.text[a:b].strip().lower() == "at"
-        host = re.compile(r"[A-Za-z0-9-]+").match(tape.text, b)
+        host = _HOST_SO_FAR.match(tape.text, b)
         if plain and not (host and host.end() in starts):
             continue
         changes.append((a, b, "@"))
@@ -169,14 +189,12 @@ def disguised_signs(tape: Tape) -> None:
     tape.rewrite([c for k, c in enumerate(changes) if not k or c[0] >= changes[k - 1][1]])
 
 
-TRANSDUCERS = (homoglyphs, spelled_digits, disguised_signs)
+#: Two readings: numerals beside spelled digits apart, or in one number with them.
+READINGS = ((homoglyphs, spelled_digits, disguised_signs), (homoglyphs, mixed_digits, disguised_signs))
 
 
-def disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans in the source of identifiers that only the rewritten text shows; none where no transducer changes the text."""
-    tape = Tape(text)
-    for step in TRANSDUCERS:
-        step(tape)
+def shown(tape: Tape, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans in the source of identifiers that only the rewritten text shows; none where no transducer changed it."""
     if tape.spans is None:
         return []
     out = []
@@ -190,6 +208,25 @@ def disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, i
     return out
 
 
+def disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of both readings; of a kind's that overlap the first reading's stay, but a longer card or phone replaces what it holds."""
+    out: list[tuple[str, int, int]] = []
+    for steps in READINGS:
+        tape = Tape(text)
+        for step in steps:
+            if step is mixed_digits and not _MIXED.search(tape.text):
+                return out
+            step(tape)
+        for kind, a, b in shown(tape, plain):
+            over = [x for x in out if x[0] == kind and x[1] < b and a < x[2]]
+            if kind in ("card", "phone") and all(a <= s and e <= b for _, s, e in over):
+                out = [x for x in out if x not in over]
+            elif over:
+                continue
+            out.append((kind, a, b))
+    return out
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 

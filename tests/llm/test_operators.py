@@ -348,6 +348,32 @@ def test_a_single_disguised_sign_is_found_whatever_stands_beside_it(kind, shown,
     assert personal_data.mask(text) == f"{beside}to [{kind.upper()}], now"
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "shown"),
+    [
+        ("joe at mail.example dot com", "email", "joe at mail.example dot com"),
+        ("to joe at a.b-c.example (dot) com now", "email", "joe at a.b-c.example (dot) com"),
+        ("call +1 five 5 five 1 two 3 four 5 six", "phone", "+1 five 5 five 1 two 3 four 5 six"),
+        ("plus 1 five five 5 one 2 three four 5 six now", "phone", "plus 1 five five 5 one 2 three four 5 six"),
+        ("+1 five five five 1 2 3 4 5 6 seven", "phone", "+1 five five five 1 2 3 4 5 6 seven"),
+        ("card 4 one 1-one 1111 1111 one 1-1 one", "card", "4 one 1-one 1111 1111 one 1-1 one"),
+        ("host one 9 two[.]16eight dot 0(dot)1", "ip", "one 9 two[.]16eight dot 0(dot)1"),
+        # Beside a number that is whole without it, a word takes nothing away.
+        ("10[.]0[.]0[.]255 one of them", "ip", "10[.]0[.]0[.]255"),
+        ("10[.]0[.]0[.]1 one of them", "ip", "10[.]0[.]0[.]1"),
+        ("４１１１ １１１１ １１１１ １１１１ one", "card", "４１１１ １１１１ １１１１ １１１１"),
+    ],
+)
+def test_disguises_among_plain_signs_and_numerals(text, kind, shown):
+    plain, more = personal_data.detect(text)
+    assert [(k, text[a:b]) for k, a, b in more] == [(kind, shown)] and not plain
+
+
+def test_numerals_beside_words_add_nothing():
+    for text in ("look at mail.example one dot", "chapter 5 five of 2 two", "12 one-off " * 2000, "1 one " * 20_000 + "x", "1" * 100_000 + " one"):
+        assert personal_data.detect(text)[1] == []
+
+
 def test_personal_data_query(spark):
     rows = odd_rows() + [(80, "a@b.co x 1.2.3.4 x 4111 1111 1111 1111 x +1 (487) 555-7209 x 1.2.3.400"), (81, "look at one dot"), (82, "four one")]
     got = {(r["doc_id"], r["spans"]): r for r in personal_data.personal_data(documents(spark, rows)).collect()}
