@@ -3,9 +3,9 @@
 Rows with equal shingle sets are one class, named by its smallest id; only
 classes go on. Each has the minima of many universal hashes of its set; a band
 of them is a bucket key. Buckets give candidate components, by large-star and
-small-star. What must be linked shares a bucket (at the default bands a link
-at the threshold is missed with a chance below 3e-7), so it is in one candidate
-component. Links are confirmed on full sets:
+small-star. What must be linked shares a bucket (the threshold gives the number
+of bands, so that a link at it is missed with a chance below 3e-7: 32 bands of
+6 at 0.85, 50 at 0.80), so it is in one candidate component. Links are confirmed on full sets:
 
 * a component of bounded size is read by one task, which compares its pairs,
   the signatures first, and skips pairs already connected;
@@ -24,6 +24,8 @@ each placed by their own text. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,8 @@ from meshloom.llm.common import drop, id_and_text, spool
 from meshloom.llm.components import components
 from meshloom.llm.shingles import lower, mix, shingle_sets, texts_of
 
-BANDS, ROWS = 32, 6
+#: Bands are as many as keep the chance that a link at the threshold shares none below MISS, and BANDS at least.
+BANDS, ROWS, MISS = 32, 6, 3e-7
 #: Signatures that agree by less than the threshold less this rule a pair out: five standard errors and more.
 SLACK = 0.15
 #: A candidate component up to these sizes is compared in one task.
@@ -71,6 +74,18 @@ def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def banding(threshold: tuple[int, int], bands: int | None = None, rows: int = ROWS) -> tuple[int, int]:
+    """The number of bands and of rows in each for a threshold; where no number of bands is given and the hashes don't suffice, rows are fewer."""
+    if bands is not None:
+        return bands, rows
+    for r in range(rows, 0, -1):
+        differ = 1 - (threshold[0] / threshold[1]) ** r
+        n = max(BANDS, math.ceil(math.log(MISS) / math.log(differ))) if differ > 0 else BANDS
+        if n * r <= len(_A):
+            return n, r
+    raise ValueError(f"no bands for a threshold of {threshold[0]}/{threshold[1]}")
+
+
 def band_keys(minima_: np.ndarray, bands: int, rows: int) -> np.ndarray:
     key = np.zeros((len(minima_), bands), dtype=np.uint64)
     for r in range(rows):
@@ -269,13 +284,14 @@ def _large(sets: DataFrame, num: int, den: int) -> DataFrame:
     return links.unionByName(spool(dealt.mapInArrow(_blocks(num, den), "u long, v long"), "block-links"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100), bands: int | None = None, rows: int = ROWS) -> DataFrame:
     """One row for each of ``docs``: its id, n_shingles, component_id, kept and its text's digest.
 
     Texts are linked when threshold[1] * |intersection| >= threshold[0] *
     |union| of their shingle sets; a component's smallest id names it.
     """
     num, den = threshold
+    bands, rows = banding(threshold, bands, rows)
     texts = id_and_text(docs, id_col, text_col)
     digest = F.sha2(F.col("text").cast("binary"), 256)
     made = spool(texts.withColumn("sha", digest).mapInArrow(_sketch(words, bands, rows), "id long, n long, set_key binary, bands binary, sha string"), "sketches")

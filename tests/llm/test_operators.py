@@ -296,6 +296,20 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert got[None]["component_id"] is None and got[None]["kept"]
 
 
+def test_links_at_the_threshold_share_a_band():
+    draw = np.random.default_rng(10)
+    missed = 0
+    for num, shared in (([80, 100], 8), ([50, 100], 2)):
+        bands, rows = minhash.banding(tuple(num))
+        for _ in range(8 if num[0] == 80 else 1):
+            x = draw.integers(0, 2**64, (10_000, shared + 2), dtype=np.uint64)
+            a, b = (minhash.band_keys(minhash.minima(list(np.delete(x, k, axis=1)), bands * rows), bands, rows) for k in (0, 1))
+            missed += int((a != b).all(axis=1).sum())
+    assert not missed
+    assert minhash.banding((85, 100)) == (32, 6) and minhash.banding((80, 100)) == (50, 6) and minhash.banding((1, 1)) == (32, 6)
+    assert (1 - 0.8**6) ** 50 < minhash.MISS
+
+
 # Personal data ----------------------------------------------------------------------
 
 
