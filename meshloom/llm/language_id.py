@@ -31,6 +31,8 @@ UNKNOWN = "und"
 PIECE = 32
 WIDTH, EMBED = 24, 16
 PER_LANGUAGE, PER_DOCUMENT, EPOCHS = 400, 60, 3
+#: A text stays from this share of the way between an even score of all labels and 1 on.
+LEAST = 0.12
 #: Words and bytes that the cache of a Python worker holds at most.
 CACHE_WORDS, CACHE_BYTES = 300_000, 32 << 20
 
@@ -284,13 +286,19 @@ def identify(docs: DataFrame, net: ByteGru | None, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, net: ByteGru | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a score of ``least`` or more."""
+def threshold(labels: int, least: float = LEAST) -> float:
+    """The score that lies ``least`` of the way from what pure chance gives among so many labels to 1."""
+    return 1 / labels + least * (1 - 1 / labels) if labels > 1 else 0.0
+
+
+def accepted(docs: DataFrame, net: ByteGru | None, least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with a score of ``threshold`` or more; of one label, all with letters."""
+    bound = threshold(len(net.labels), least) if net else 0.0
 
     def run(batches):
         for batch in batches:
             texts = [b"" if t is None else t for t in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()]
-            keep = [x != UNKNOWN and s >= least for x, s in predict(net, texts)]
+            keep = [x != UNKNOWN and s >= bound for x, s in predict(net, texts)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

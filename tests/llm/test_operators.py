@@ -460,6 +460,18 @@ def test_language_id(spark):
     assert kept == set(range(200)) | {303, None}
 
 
+def test_texts_in_no_one_language_go(spark):
+    draw = random.Random(13)
+    kinds = {"aa": ["katalo", "kimono", "takoma", "mokita"], "bb": ["wespen", "hunger", "felder", "spuren"], "cc": ["divvzy", "ziggyv", "vyzzid", "gyvvix"]}
+    rows = [(k, " ".join(draw.choice(kinds[lang]) for _ in range(30)), lang) for k in range(180) for lang in (list(kinds)[k % 3],)]
+    for langs in (("aa", "bb"), ("aa", "bb", "cc"), ("aa",)):
+        own = [r for r in rows if r[2] in langs]
+        odd = [(1000 + k, " ".join(draw.choice(kinds[lang]) for _ in range(20) for lang in langs), None) for k in range(20)]
+        docs = spark.createDataFrame(own + odd, "doc_id long, text string, lang string")
+        kept = {r["doc_id"] for r in language_id.accepted(docs, language_id.learn(docs, per_language=60, per_document=20)).collect()}
+        assert kept == {r[0] for r in own + odd * (len(langs) == 1)}
+
+
 # Pages ------------------------------------------------------------------------------
 
 
