@@ -20,7 +20,9 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 FENCES = frozenset("ul ol dl table article section div aside main nav header footer form body td th blockquote".split())
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: One attribute after another, a name and its value or none, so that a value is never read as a name.
+_ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?|\"[^\"]*\"|'[^']*'")
+_NAMED = frozenset(("class", "id", "role"))
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -33,17 +35,15 @@ class Block:
 
 
 def _names(attributes: str) -> tuple[tuple[str, ...], bool]:
-    """The words of class, id and role, and whether the element is hidden."""
+    """The words of class, id and role, and whether the element is hidden; what is hidden from readers aloud alone is shown."""
     words, hidden = [], False
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        name, value = (m.group(1) or "").lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name == "hidden":
             hidden = True
-        elif name == "aria-hidden":
-            hidden = hidden or value.lower() == "true"
         elif name == "style":
             hidden = hidden or bool(_HIDDEN.search(value))
-        else:
+        elif name in _NAMED:
             words += [x.lower() for x in _TOKEN.findall(unescape(value))]
     return tuple(words), hidden
 

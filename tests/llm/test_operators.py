@@ -483,6 +483,25 @@ def test_blocks_of_tag_soup():
     assert page_blocks.blocks("") == [] and page_blocks.blocks("<p") != [None] and page_blocks.blocks("<" * 3000) is not None
 
 
+@pytest.mark.parametrize(
+    ("attributes", "want"),
+    [
+        ('href="/hidden-gems"', ((), False)),
+        ("href=/hidden", ((), False)),
+        ('title="the hidden style=display:none"', ((), False)),
+        ('data-hidden="false" data-class="x" data-style="display:none"', ((), False)),
+        ('aria-hidden="true" class="icon"', (("icon",), False)),
+        ("hidden", ((), True)),
+        ("class='mainText' HIDDEN=''", (("main", "text"), True)),
+        ('id = side style = "color:red; display : none"', (("side",), True)),
+        ("style='visibility:hidden'role=menu", (("menu",), True)),
+    ],
+)
+def test_attributes_are_read_by_name(attributes, want):
+    assert page_blocks._names(" " + attributes) == want
+    assert [b.text for b in page_blocks.blocks(f"<p>a</p><p {attributes}>b</p><p>c</p>")] == (["a", "c"] if want[1] else ["a", "b", "c"])
+
+
 def test_gradients_of_the_block_network():
     net = html_text.BlockLstm(inputs=3, width=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
