@@ -3,11 +3,13 @@
 Texts are equal when their bytes are, after white space is deleted. Each scan
 task collapses the copies that it meets, so that of a text with many copies
 each task sends few. The top bits of a 64-bit key give the owner, whose key
-range is dealt to one task; it reads its rows in key order, chains texts that
-share a key, compares their bytes, and puts one entry for each text into its
-extendible-hash index: a directory over the key's leading bits that doubles
-when an overfull bucket of full depth splits. The owner writes its index to
-the shared folder, from which ``ExtendibleIndex.load`` opens it.
+range is dealt to one task; it merges each of its rows into its extendible-hash
+index: a directory over the key's leading bits that doubles when an overfull
+bucket of full depth splits. ``merge`` goes through the chain of the row's key,
+compares bytes, and adds to the entry of an equal text or chains a new one. Rows
+come in order of the key, so only the texts of the key in hand are held. The
+owner writes its index to the shared folder, from which
+``ExtendibleIndex.load`` opens it.
 
 Defined results: a null text is empty, and empty texts are one group. Of
 repeated rows that tie for the place, one stays. A null id ranks after all
@@ -43,6 +45,7 @@ class ExtendibleIndex:
         self.capacity, self.skip, self.depth = capacity, skip, 0
         self.directory: list[int] = [0]
         self.buckets: list[tuple[int, dict[int, list]]] = [(0, {})]  # local depth, key -> chain
+        self.texts: tuple[int | None, list[bytes]] = (None, [])  # the key that was merged last, and the texts of its chain
 
     def _slot(self, key: int, depth: int) -> int:
         return ((key << self.skip) & 0xFFFFFFFFFFFFFFFF) >> (64 - depth) if depth else 0
@@ -58,6 +61,21 @@ class ExtendibleIndex:
             b = self._split(b, key)
             held = self.buckets[b][1]
 
+    def merge(self, key: int, text: bytes, entry: tuple) -> None:
+        """Add (best length, best id, copies, digest) to the entry of an equal text, or chain it; a key's rows come on end."""
+        last, texts = self.texts
+        if last != key:
+            assert not self.chain(key), "the rows of a key come on end"
+            self.texts = last, texts = key, []
+        chain = self.chain(key)
+        for k, own in enumerate(texts):
+            if own == text:
+                n, i, copies, sha = chain[k]
+                chain[k] = (*_better((n, i), entry[:2]), copies + entry[2], sha)
+                return
+        texts.append(text)
+        self.insert(key, entry)
+
     def _split(self, b: int, key: int) -> int:
         local, held = self.buckets[b]
         if local == self.depth:  # the directory doubles
@@ -157,31 +175,15 @@ def _owner(folder: str, capacity: int):
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(schema.types)], schema=schema)
 
     def run(batches):
-        owner, index, key, chain = None, None, None, []  # chain: [bytes, best, copies, sha] of the key in hand
-        signed = 0xFFFFFFFFFFFFFFFF
-
-        def settle():
-            for norm, best, copies, sha in chain:
-                index.insert(key & signed, (best[0], best[1], copies, sha))
-
+        owner, index, unsigned = None, None, 0xFFFFFFFFFFFFFFFF
         for batch in batches:
             for o, k, sha, norm, n, i, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (o, k) != (owner, key):
+                if o != owner:
                     if index is not None:
-                        settle()
-                    if o != owner:
-                        if index is not None:
-                            yield close(owner, index)
-                        owner, index = o, ExtendibleIndex(capacity, OWNER_BITS)
-                    key, chain = k, []
-                for e in chain:
-                    if e[0] == norm:
-                        e[1], e[2] = _better(e[1], (n, i)), e[2] + copies
-                        break
-                else:
-                    chain.append([norm, (n, i), copies, sha])
+                        yield close(owner, index)
+                    owner, index = o, ExtendibleIndex(capacity, OWNER_BITS)
+                index.merge(k & unsigned, norm, (n, i, copies, sha))
         if index is not None:
-            settle()
             yield close(owner, index)
 
     return run

@@ -63,6 +63,20 @@ def test_extendible_index_splits_and_round_trips():
         assert all(len(held) <= 4 for _, held in x.buckets)
 
 
+def test_extendible_index_merges_equal_texts_by_their_bytes():
+    index = exact_dedup.ExtendibleIndex(capacity=2)
+    draw, want = random.Random(14), {}
+    for key in sorted(draw.getrandbits(64) for _ in range(50)):
+        for _ in range(draw.randint(1, 9)):
+            text, n, i, copies = draw.choice([b"a", b"b", b""]), draw.randint(0, 3), draw.choice([None, 1, 2]), draw.randint(1, 3)
+            index.merge(key, text, (n, i, copies, text.hex()))  # texts that share a key are told apart
+            held = want.setdefault((key, text.hex()), [(n, i), 0])
+            held[0] = min(held[0], (n, i), key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+            held[1] += copies
+    got = {(k, sha): [(n, i), copies] for k, (n, i, copies, sha) in index.entries()}
+    assert got == want and sum(1 for _ in index.entries()) == len(want)
+
+
 def test_exact_dedup(spark, tmp_path):
     rows = odd_rows()
     rows += [(70, "twin"), (70, "twin"), (71, None), (None, "twin")]
