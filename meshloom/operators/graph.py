@@ -196,21 +196,20 @@ def propagate_all(mesh: Mesh, vectors: dict[str, DataFrame]) -> dict[str, DataFr
         out[m.source.name if down else m.target.name] = propagate_from(m, out[m.target.name]) if down else propagate_to(m, out[m.source.name])
 
 
-def forced_together(m: MeshMap, vector: DataFrame, most: int = 50) -> DataFrame:
+def forced_together(m: MeshMap, vector: DataFrame) -> DataFrame:
     """The targets of each row of ``m`` in one part: the smallest of the row, until nothing changes."""
     before = None
-    for _ in range(most):
+    while True:
         rows = _slots(m).join(vector.select(F.col("id").alias("to"), "part"), "to")
         low = rows.groupBy("from").agg(F.min("part").alias("low"))
         new = rows.join(low, "from").groupBy(F.col("to").alias("id")).agg(F.min("low").alias("low"))
         vector = vector.join(new, "id", "left").select("id", F.least("part", F.coalesce("low", "part")).alias("part"))
-        if vector.sparkSession.sparkContext.getCheckpointDir():
-            vector = vector.checkpoint()
+        # The plan grows threefold a round unless its lineage is cut.
+        vector = vector.checkpoint() if vector.sparkSession.sparkContext.getCheckpointDir() else vector.localCheckpoint()
         now = vector.agg(F.sum("part")).first()[0]
         if now == before:
             return vector
         before = now
-    return vector
 
 
 def distribute(on: MeshSet, vector: DataFrame, parts: int) -> None:

@@ -297,6 +297,15 @@ def test_partitions(spark):
     assert sum(r["n"] for r in regions if r["kind"] != "imported") == mesh.sets["edges"].size
 
 
+def test_long_chains_are_forced_together(spark):
+    mesh = Mesh(spark)
+    links, ends = mesh.decl_set(53, "links"), mesh.decl_set(56, "ends")
+    m = mesh.decl_map(links, ends, 2, lambda i: [i, i + 1], "link_ends")
+    vector = spark.range(56).select("id", F.col("id").cast("int").alias("part"))
+    got = {r["id"]: r["part"] for r in graph.forced_together(m, vector).collect()}
+    assert got == {i: 0 if i <= 53 else i for i in range(56)}
+
+
 def test_renumbering(spark):
     mesh = generate.channel(spark, 5, 3)
     m, x = mesh.maps["cell_nodes"], mesh.dats["nodes", "x"]
