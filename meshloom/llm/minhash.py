@@ -4,8 +4,8 @@ Rows with equal shingle sets are one class, named by its smallest id; only
 classes go on. Each has the minima of many universal hashes of its set; a band
 of them is a bucket key. Buckets give candidate components, by large-star and
 small-star. What must be linked shares a bucket (the threshold gives the number
-of bands, so that a link at it is missed with a chance below 3e-7: 32 bands of
-6 at 0.85, 50 at 0.80), so it is in one candidate component. Links are confirmed on full sets:
+and length of bands, so that a link at it is missed with a chance below 3e-7: 32
+bands of 6 at 0.85, 38 of 5 at 0.80), so it is in one candidate component. Links are confirmed on full sets:
 
 * a component of bounded size is read by one task, which compares its pairs,
   the signatures first, and skips pairs already connected;
@@ -35,7 +35,7 @@ from meshloom.llm.common import drop, id_and_text, spool
 from meshloom.llm.components import components
 from meshloom.llm.shingles import lower, mix, shingle_sets, texts_of
 
-#: Bands are as many as keep the chance that a link at the threshold shares none below MISS, and BANDS at least.
+#: Bands are as many as keep the chance that a link at the threshold shares none below MISS, and BANDS at least; shorter where BANDS * ROWS hashes don't suffice.
 BANDS, ROWS, MISS = 32, 6, 3e-7
 #: Signatures that agree by less than the threshold less this rule a pair out: five standard errors and more.
 SLACK = 0.15
@@ -75,13 +75,13 @@ def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def banding(threshold: tuple[int, int], bands: int | None = None, rows: int = ROWS) -> tuple[int, int]:
-    """The number of bands and of rows in each for a threshold; where no number of bands is given and the hashes don't suffice, rows are fewer."""
+    """The number of bands, where none is given, and of rows in each for a threshold."""
     if bands is not None:
         return bands, rows
-    for r in range(rows, 0, -1):
+    for most, r in [(BANDS * ROWS, r) for r in range(rows, 0, -1)] + [(len(_A), 1)]:
         differ = 1 - (threshold[0] / threshold[1]) ** r
         n = max(BANDS, math.ceil(math.log(MISS) / math.log(differ))) if differ > 0 else BANDS
-        if n * r <= len(_A):
+        if n * r <= most:
             return n, r
     raise ValueError(f"no bands for a threshold of {threshold[0]}/{threshold[1]}")
 
