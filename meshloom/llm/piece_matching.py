@@ -12,8 +12,15 @@ the leftmost of equals, until none is left. That is the order of a vocabulary
 of kind BPE. One of kind unigram takes the best-scored path over the same edges.
 Characters that no piece covers become bytes.
 
+Between two characters that no occurrence spans no merge can go, so units fall
+into segments there, each relaxed by itself; a unit without spaces, however
+long, is matched in runs of bounded bytes that end at such places. Encoding,
+decoding and digests share one Python stage, and a worker's cache is bounded by
+the sizes its objects really have.
+
 Defined results: a null or empty text has no ids and decodes to the empty
-text. Repeated rows get equal results; extra columns go.
+text. Repeated rows get equal results, a null id stays null; extra columns go,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +28,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 import zlib
+from array import array
+from bisect import bisect_left
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +46,10 @@ MARK = "▁"
 _UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 #: Units of more characters are merged each by itself, with a queue.
 SHORT = 40
-#: Texts whose units are matched together.
-GROUP = 600
+#: Texts whose units are matched together, and units of a long text that are looked up at a time.
+GROUP, UNITS = 600, 100_000
+#: Bytes of units, and suffixes, that are matched at a time.
+PART, SUFFIXES = 1 << 19, 1 << 18
 _NONE = np.int64(1 << 62)
 
 
@@ -76,19 +89,66 @@ class Pieces:
         """(start * 64 + length, place of the piece) of every occurrence of a piece, sorted by position and length."""
         starts = np.flatnonzero((data & 0xC0) != 0x80)
         wide = np.concatenate([data, np.full(self.longest, 0xFF, np.uint8)])
-        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, self.longest)[starts]).view(f"S{self.longest}").ravel()
-        array = np.argsort(suffixes, kind="stable")
-        ordered = suffixes[array]
-        low, high = np.searchsorted(ordered, self.texts, "left"), np.searchsorted(ordered, self.tops, "right")
+        windows = np.lib.stride_tricks.sliding_window_view(wide, self.longest)
+        found = [self._occurrences(windows, starts[k : k + SUFFIXES]) for k in range(0, len(starts), SUFFIXES)]
+        keys, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        return keys, piece
+
+    def _occurrences(self, windows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The edges from these starts: their suffixes in order, and every piece's range among them."""
+        suffixes = np.ascontiguousarray(windows[starts]).view(f"S{self.longest}").ravel()
+        order = np.argsort(suffixes, kind="stable")
+        suffixes = suffixes[order]
+        low, high = np.searchsorted(suffixes, self.texts, "left"), np.searchsorted(suffixes, self.tops, "right")
         count = high - low
         piece = np.repeat(np.arange(len(count)), count)
         at = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        keys = starts[array[at]] * 64 + self.lengths[piece]
-        order = np.argsort(keys, kind="stable")
-        return keys[order], piece[order]
+        keys = starts[order[at]] * 64 + self.lengths[piece]
+        sort = np.argsort(keys, kind="stable")
+        return keys[sort], piece[sort]
+
+    @staticmethod
+    def _clean(chars: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
+        """Whether no edge spans the place before each character, the first one's included."""
+        inside = np.zeros(size + 1, np.int64)
+        np.add.at(inside, (keys >> 6) + 1, 1)
+        np.subtract.at(inside, (keys >> 6) + (keys & 63), 1)
+        return np.cumsum(inside)[chars] == 0
 
     def encode(self, units: list[bytes]) -> list[np.ndarray]:
-        """The ids of each unit."""
+        """The ids of each unit, in parts of bounded bytes."""
+        out, k = [], 0
+        while k < len(units):
+            j, size = k, 0
+            while j < len(units) and (j == k or size + len(units[j]) <= PART):
+                size += len(units[j]) + 1
+                j += 1
+            out += [self._encode_long(units[k])] if size > 2 * PART else self._encode(units[k:j])
+            k = j
+        return out
+
+    def _encode_long(self, unit: bytes) -> np.ndarray:
+        """One unit in runs that end where nothing spans; a run without such a place is made longer."""
+        out, at, width = [], 0, PART
+        while at < len(unit):
+            stop = min(at + width, len(unit))
+            while stop < len(unit) and unit[stop] & 0xC0 == 0x80:
+                stop -= 1
+            cut = stop - at
+            if stop < len(unit):
+                data = np.frombuffer(unit[at:stop], np.uint8)
+                chars = np.flatnonzero((data & 0xC0) != 0x80)
+                # What spans a place ends within the longest piece after it.
+                clean = chars[self._clean(chars, len(data), self.edges(data)[0]) & (chars <= len(data) - self.longest)]
+                cut = int(clean[-1]) if len(clean) else 0
+            if cut:
+                out += self._encode([unit[at : at + cut]])
+                at, width = at + cut, PART
+            else:
+                width *= 2
+        return np.concatenate(out)
+
+    def _encode(self, units: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b"\xff".join(units) + b"\xff", dtype=np.uint8)
         keys, piece = self.edges(data)
 
@@ -101,9 +161,8 @@ class Pieces:
         chars = np.flatnonzero(((data & 0xC0) != 0x80) & (data != 0xFF))
         ends = np.append(chars[1:], len(data) - 1)
         ends -= data[ends - 1] == 0xFF  # before a separator
-        bounds = np.flatnonzero(data == 0xFF)
-        unit = np.searchsorted(bounds, chars)
-        first = np.searchsorted(unit, np.arange(len(units)))
+        unit = np.searchsorted(np.flatnonzero(data == 0xFF), chars)
+        first = np.flatnonzero(self._clean(chars, len(data), keys))  # a separator is never spanned
         size = np.diff(np.append(first, len(chars)))
         alive = np.ones(len(chars), bool)
         if self.unigram:
@@ -158,34 +217,38 @@ class Pieces:
             rate(np.concatenate([c, b[b >= 0]]))
 
     def _merge_long(self, chars, ends, alive, first, size, keys, piece) -> None:
-        """One unit, with a queue of pairs."""
+        """One segment, with a queue of pairs; what it holds for a character is a few machine words."""
         last = first + size
-        after = list(range(1, size + 1))
-        before = list(range(-1, size - 1))
         lo, hi = np.searchsorted(keys, [chars[first] * 64, ends[last - 1] * 64])
-        table = dict(zip(keys[lo:hi].tolist(), self.ranks[piece[lo:hi]].tolist(), strict=True))
-        s, e, queue = chars[first:last].tolist(), ends[first:last].tolist(), []
+        edge, rank = array("q", keys[lo:hi].tobytes()), array("q", self.ranks[piece[lo:hi]].tobytes())
+        after, before = array("q", range(1, size + 1)), array("q", range(-1, size - 1))
+        s, e, queue = array("q", chars[first:last].tobytes()), array("q", ends[first:last].tobytes()), []
 
         def push(c):
-            if 0 <= c and after[c] < size and e[after[c]] - s[c] < 64:
-                rank = table.get(s[c] * 64 + e[after[c]] - s[c])
-                if rank is not None:
-                    heapq.heappush(queue, (rank, c, e[c], e[after[c]]))
+            if 0 <= c and after[c] < size:
+                d = after[c]
+                n = e[d] - s[c]
+                if n < 64:
+                    want = s[c] * 64 + n
+                    at = bisect_left(edge, want)
+                    if at < len(edge) and edge[at] == want:
+                        heapq.heappush(queue, (rank[at] << 52) | (c << 12) | ((e[c] - s[c]) << 6) | n)
 
         for c in range(size):
             push(c)
         dead = bytearray(size)
         while queue:
-            _, c, mid, end = heapq.heappop(queue)
-            if dead[c] or e[c] != mid or after[c] >= size or e[after[c]] != end:
+            best = heapq.heappop(queue)
+            c, mid, n = (best >> 12) & 0xFFFFFFFFFF, (best >> 6) & 63, best & 63
+            if dead[c] or e[c] - s[c] != mid or after[c] >= size or e[after[c]] - s[c] != n:
                 continue
             d = after[c]
-            dead[d], e[c], after[c] = 1, end, after[d]
+            dead[d], e[c], after[c] = 1, e[d], after[d]
             if after[c] < size:
                 before[after[c]] = c
             push(before[c])
             push(c)
-        ends[first:last] = e
+        ends[first:last] = np.frombuffer(e, dtype=np.int64)
         alive[first:last] = ~np.frombuffer(dead, dtype=np.uint8).astype(bool)
 
     def _best_paths(self, chars, ends, alive, first, size, keys, piece) -> None:
@@ -222,22 +285,31 @@ class Pieces:
 
 
 class PieceIds(WordIds):
-    """Units to packed ids, with the same two bounded generations."""
+    """Units to packed ids, with the same two bounded generations; ``limit`` is in bytes of the objects held."""
 
-    def __init__(self, pieces: Pieces, limit: int = 110 << 20):
+    def __init__(self, pieces: Pieces, limit: int = 40 << 20):
         self.pieces, self.limit, self.size = pieces, limit, 0
         self.young, self.old = {}, {}
 
+    def _keep(self, unit: str, ids: bytes) -> None:
+        self.young[unit] = ids
+        self.size += sys.getsizeof(unit) + sys.getsizeof(ids) + 110  # and the place in the table
+
     def learn(self, words: set) -> None:
         if self.size > self.limit:
             self.old, self.young, self.size = self.young, {}, 0
         new = list(self._unknown(words))
-        for k in range(0, len(new), 30_000):
-            part = new[k : k + 30_000]
-            for unit, ids in zip(part, self.pieces.encode([u.encode() for u in part]), strict=True):
-                self._keep(unit, ids.astype("<u4").tobytes())
+        for unit, ids in zip(new, self.pieces.encode([u.encode() for u in new]), strict=True):
+            self._keep(unit, ids.astype("<u4").tobytes())
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text; a text of many units by itself, in runs of them."""
+        if len(texts) == 1:
+            units, out = (m.group() for m in _UNIT.finditer(MARK + texts[0].replace(" ", MARK))) if texts[0] else iter(()), []
+            while run := list(islice(units, UNITS)):
+                self.learn(set(run))
+                out.append(b"".join(map(self.young.__getitem__, run)))
+            return [b"".join(out)]
         units = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known: set = set()
         known.update(*units)
@@ -267,7 +339,7 @@ def _groups(batches):
         sizes = np.diff(texts_of(batch.column(1))[1])
         lo = total = 0
         for k, n in enumerate(sizes.tolist()):
-            if k > lo and (k - lo >= GROUP or total + n > 4 << 20):
+            if k > lo and (k - lo >= GROUP or total + n > 1 << 20):
                 yield batch.slice(lo, k - lo)
                 lo, total = k, 0
             total += n
@@ -303,12 +375,15 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """For each of ``docs``: doc_id, n_ids, ids_crc32, and the digest of the text decoded from the ids."""
+    """For each of ``docs``: doc_id, n_ids, ids_crc32, and the digest of the text decoded from the ids; one Python stage."""
+    path = vocabulary or default_vocabulary()
 
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()
-            columns = [[len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [hashlib.sha256(t).hexdigest() for t in texts]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
+        coder = piece_ids(path)
+        for part in _groups(batches):
+            ids = coder.encode_all(part.column(1).to_pylist())
+            texts = (coder.pieces.decode(np.frombuffer(x, "<u4").tolist()) for x in ids)
+            columns = [[len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [hashlib.sha256(t.decode("utf-8", "replace").encode()).hexdigest() for t in texts]]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
 
-    return decode(encode(docs, id_col, text_col, vocabulary), vocabulary).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")

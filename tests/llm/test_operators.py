@@ -204,6 +204,33 @@ def test_pieces_equal_the_library(spark):
         assert r["n_ids"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_long_units_are_matched_in_runs(monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_matching.default_vocabulary())
+    vocabulary = piece_matching.Pieces.load(piece_matching.default_vocabulary())
+    draw = random.Random(15)
+    units = ["".join(draw.choice("abcdeghiklmnorstuéß日本xq09") for _ in range(3000)), "a" * 1500, "the" * 700, "x"]
+    want = [model.encode(u) for u in units]
+    for part, suffixes in ((200, 64), (1 << 19, 1000), (5000, 1 << 18)):
+        monkeypatch.setattr(piece_matching, "PART", part)
+        monkeypatch.setattr(piece_matching, "SUFFIXES", suffixes)
+        got = vocabulary.encode([("▁" + u).encode() for u in units])
+        assert [x.tolist() for x in got] == want
+    monkeypatch.setattr(piece_matching, "UNITS", 7)
+    text = " ".join(draw.choice(["ab", "the", "ing\n", "  x", "日本"]) for _ in range(400))
+    assert np.frombuffer(piece_matching.PieceIds(vocabulary).encode_all([text])[0], "<u4").tolist() == model.encode(text)
+
+
+def test_a_text_of_two_million_letters_without_spaces():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_matching.default_vocabulary())
+    vocabulary = piece_matching.Pieces.load(piece_matching.default_vocabulary())
+    text = "".join(random.Random(16).choices("abcdefghijklmnopqrstuvwxyz", k=2_000_000))
+    assert np.frombuffer(piece_matching.PieceIds(vocabulary).encode_all([text])[0], "<u4").tolist() == model.encode(text)
+
+
 def test_unigram_takes_the_best_path():
     pieces = [(b"\xe2\x96\x81a", -1.0, 0), (b"b", -2.0, 1), (b"ab", -2.7, 2), (b"\xe2\x96\x81", -0.5, 3), (b"\xe2\x96\x81ab", -4.0, 4), (b"c", -3.0, 5)]
     vocabulary = piece_matching.Pieces(pieces, {b: 100 + b for b in range(256)}, unigram=True)
