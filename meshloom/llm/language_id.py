@@ -1,40 +1,57 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word both ways and labels every position; a
-document's probabilities are the mean over all positions of all its words that
-hold a letter. The state starts anew at each word (a run without white space,
-in pieces of at most ``PIECE`` bytes), so a word's labels are computed once and
-kept in a bounded cache, and a text is never cut short.
+The network reads the bytes of a text both ways and labels every position; a
+document's probabilities are the mean over the positions of all its letters (a
+byte above 127 counts as one). A text is read in windows of ``SPAN`` labelled
+positions, many side by side: the forward state enters a window from ``CONTEXT``
+bytes before it, the backward state from as many after it, so that both run on
+across words and across windows' bounds, and a text is never cut short.
 
 It is trained here, by backpropagation through time in numpy, on a bounded
 sample of the labelled rows: ``per_language`` documents of each language, the
-first by a hash of their id, and ``per_document`` words of each, drawn by the
-id. Rows whose crc32(id as text) mod 4 is 2 are held out and never read.
+first by a hash of their id, and ``per_document`` passages of each, of the
+lengths ``PASSAGES``, drawn by the id, and half as many more in which words of
+two of them take turns, each position keeping its label, so that a label says
+what stands there and not what stood before. Rows whose crc32(id as text) mod 4
+is 2 are held out and never read.
 
 Defined results: a text that is null or has no letter, or any text where
-nothing could be learned, is ``und`` with score 0. A null id is neither held
-out nor learned from. Repeated rows get equal results; extra columns go.
+nothing could be learned, is ``und`` with score 0. Of labels that tie the first
+in their order is predicted. A null id is neither held out nor learned from; of
+rows that share an id and a label the least text is learned from. Repeated rows
+get equal results; extra columns go, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.common import id_and_text
 
 UNKNOWN = "und"
-PIECE = 32
 WIDTH, EMBED = 24, 16
-PER_LANGUAGE, PER_DOCUMENT, EPOCHS = 400, 60, 3
+PER_LANGUAGE, PER_DOCUMENT, EPOCHS = 400, 8, 3
+#: Bytes of the passages that are learned from: half are of the last length, where a text has so many.
+PASSAGES = (12, 32, 96)
+#: Positions that a window labels, and bytes on both sides from which the states enter it; spans are cut to multiples of CONTEXT.
+SPAN, CONTEXT = 256, 32
+#: Windows that are read side by side, and bytes of texts that are laid out at a time; a longer text is laid out whole.
+LANES, HELD = 512, 2 << 20
 #: A text stays from this share of the way between an even score of all labels and 1 on.
 LEAST = 0.12
-#: Words and bytes that the cache of a Python worker holds at most.
-CACHE_WORDS, CACHE_BYTES = 300_000, 32 << 20
+#: The byte that stands for none, at which a state doesn't change.
+NONE = 256
+_LETTER = np.zeros(NONE + 1, np.float32)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_HAS_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(rb"\s*\S+|\s+")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -74,17 +91,13 @@ class ByteGru:
             out[t] = h
         return (out, steps) if keep else out
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """(positions, words, labels): the probabilities at each byte of words of one length."""
-        both = np.concatenate([self._states(x, "f"), self._states(x[:, ::-1], "b")[::-1]], axis=2)
-        y = both @ self.p["V"] + self.p["c"]
-        y -= y.max(axis=2, keepdims=True)
-        np.exp(y, out=y)
-        return y / y.sum(axis=2, keepdims=True)
+    def reader(self) -> Reader:
+        return Reader(self)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The mean loss over positions and its gradients, back through time."""
+        """The mean loss over positions and its gradients, back through time; y has a label for each row of x or each of its positions."""
         n, p = self.width, self.p
+        y = np.broadcast_to(y if y.ndim == 2 else y[:, None], x.shape).T
         sf, kf = self._states(x, "f", True)
         sb, kb = self._states(x[:, ::-1], "b", True)
         both = np.concatenate([sf, sb[::-1]], axis=2)
@@ -93,17 +106,18 @@ class ByteGru:
         prob = np.exp(logits)
         prob /= prob.sum(axis=2, keepdims=True)
         count = x.size
-        rows = np.arange(len(x))
-        loss = float(-np.log(prob[:, rows, y] + 1e-9).sum() / count)
-        prob[:, rows, y] -= 1
+        at = np.arange(x.shape[1])[:, None], np.arange(len(x)), y
+        loss = float(-np.log(prob[at] + 1e-9).sum() / count)
+        prob[at] -= 1
         prob /= count
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["V"] = np.einsum("tbh,tbc->hc", both, prob)
+        g["V"] = both.reshape(-1, 2 * n).T @ prob.reshape(-1, prob.shape[2])
         g["c"] = prob.sum(axis=(0, 1))
         down = prob @ p["V"].T
         for d, steps, up, seq in (("f", kf, down[:, :, :n], x), ("b", kb, down[::-1, :, n:], x[:, ::-1])):
             u, w = p[f"U{d}"], p[f"W{d}"]
-            dh = np.zeros((len(x), n), np.float32)
+            dh = np.zeros((len(x), n), p["c"].dtype)
+            inputs = np.empty((x.shape[1], len(x), 3 * n), p["c"].dtype)
             for t in range(x.shape[1] - 1, -1, -1):
                 h, r, z, new, own = steps[t]
                 dh = dh + up[t]
@@ -111,19 +125,22 @@ class ByteGru:
                 dr = dnew * own * r * (1 - r)
                 dz = dh * (h - new) * z * (1 - z)
                 gates = np.concatenate([dr, dz, dnew * r], axis=1)
-                inputs = np.concatenate([dr, dz, dnew], axis=1)
+                np.concatenate([dr, dz, dnew], axis=1, out=inputs[t])
                 g[f"U{d}"] += h.T @ gates
-                g[f"a{d}"] += inputs.sum(axis=0)
-                e = p["E"][seq[:, t]]
-                g[f"W{d}"] += e.T @ inputs
-                np.add.at(g["E"], seq[:, t], inputs @ w.T)
                 dh = dh * z + gates @ u.T
+            # What the positions of a byte add up to is its row's share of the table E @ W + a.
+            order = np.argsort(seq.T, axis=None, kind="stable")
+            found, first = np.unique(seq.T.ravel()[order], return_index=True)
+            rows = np.add.reduceat(inputs.reshape(-1, 3 * n)[order], first)
+            g[f"a{d}"] = rows.sum(axis=0)
+            g[f"W{d}"] = p["E"][found].T @ rows
+            g["E"][found] += rows @ w.T
         return loss, g
 
-    def train(self, words: list[bytes], labels: list[int], epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01, seed: int = 2) -> list[float]:
-        """Adam over batches of words of one length; returns the losses."""
+    def train(self, passages: list[bytes], labels: list, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01, seed: int = 2) -> list[float]:
+        """Adam over batches of passages of one length, each with a label or one for each position; returns the losses."""
         draw, groups = np.random.default_rng(seed), defaultdict(list)
-        for w, y in zip(words, labels, strict=True):
+        for w, y in zip(passages, labels, strict=True):
             groups[len(w)].append((w, y))
         first, second, t, losses = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0, []
         for epoch in range(epochs):
@@ -133,7 +150,7 @@ class ByteGru:
                 todo += [[own[k] for k in order[a : a + batch]] for a in range(0, len(own), batch)]
             for k in draw.permutation(len(todo)):
                 x = np.frombuffer(b"".join(w for w, _ in todo[k]), np.uint8).reshape(len(todo[k]), -1)
-                loss, g = self.gradients(x, np.array([y for _, y in todo[k]]))
+                loss, g = self.gradients(x, np.array([np.broadcast_to(y, len(w)) for w, y in todo[k]]))
                 losses.append(loss)
                 norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
                 t += 1
@@ -146,68 +163,116 @@ class ByteGru:
         return losses
 
 
-def pieces(word: bytes) -> list[bytes]:
-    return [word[k : k + PIECE] for k in range(0, len(word), PIECE)]
-
-
-class WordLabels(dict):
-    """Word to its row in a table of summed position probabilities and their number."""
+class Reader:
+    """A network's tables as its recurrence reads them, with a row for no byte, and the labels of whole texts."""
 
     def __init__(self, net: ByteGru):
-        super().__init__()
-        self.net, self.table, self.used, self.size = net, np.zeros((1024, len(net.labels) + 1), np.float32), 0, 0
-
-    def learn(self, words: set[bytes]) -> None:
-        """Label the words that aren't known; a full cache starts anew with these."""
-        if len(self) > CACHE_WORDS or self.size > CACHE_BYTES:
-            self.clear()
-            self.used = self.size = 0
-        new = [w for w in words if w not in self]
-        while self.used + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used : self.used + len(new)] = 0
-        groups: dict[int, list] = defaultdict(list)
-        for k, w in enumerate(new, self.used):
-            self[w] = k
-            self.size += len(w)
-            if any(c.isalpha() for c in w.decode("utf-8", "replace")):
-                for part in pieces(w):
-                    groups[len(part)].append((k, part))
-        for length, own in groups.items():
-            for a in range(0, len(own), 2048):
-                rows = np.array([k for k, _ in own[a : a + 2048]])
-                x = np.frombuffer(b"".join(w for _, w in own[a : a + 2048]), np.uint8).reshape(len(rows), length)
-                np.add.at(self.table[:, :-1], rows, self.net.positions(x).sum(axis=0))
-                np.add.at(self.table[:, -1], rows, length)
-        self.used += len(new)
+        n, f, self.net = net.width, np.float32, net
+        self.d = {}
+        for d in "fb":
+            table = np.zeros((NONE + 1, 3 * n), f)
+            table[:NONE] = net.p["E"] @ net.p[f"W{d}"] + net.p[f"a{d}"]
+            table[NONE, n : 2 * n] = 60  # the state stays
+            u = net.p[f"U{d}"].astype(f)
+            # The gates' sign is turned, as their exponential takes it.
+            self.d[d] = [np.ascontiguousarray(x) for x in (-table[:, : 2 * n], table[:, 2 * n :], -u[:, : 2 * n], u[:, 2 * n :])]
+        self.out = [np.ascontiguousarray(net.p["V"][:n], f), np.ascontiguousarray(net.p["V"][n:], f), net.p["c"].astype(f)]
+
+    def _read(self, x: np.ndarray, d: str, out: np.ndarray) -> None:
+        """The states after each of the last len(out) rows of x (steps, windows), read in order."""
+        gates, news, ug, un = self.d[d]
+        n, lanes = un.shape[0], x.shape[1]
+        h, g, own = np.zeros((lanes, n), np.float32), np.empty((lanes, 2 * n), np.float32), np.empty((lanes, 2 * n), np.float32)
+        new, mine = np.empty((lanes, n), np.float32), np.empty((lanes, n), np.float32)
+        r, z, skip = g[:, :n], g[:, n:], len(x) - len(out)
+        for t in range(len(x)):
+            np.take(gates, x[t], axis=0, out=g, mode="clip")
+            np.dot(h, ug, out=own)
+            g += own
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.take(news, x[t], axis=0, out=new, mode="clip")
+            np.dot(h, un, out=mine)
+            mine *= r
+            new += mine
+            np.tanh(new, out=new)
+            h -= new
+            h *= z
+            h += new
+            if t >= skip:
+                out[t - skip] = h
+
+    def positions(self, x: np.ndarray) -> np.ndarray:
+        """(positions, windows, labels): the probabilities at the positions between both contexts of windows (windows, bytes)."""
+        x = np.ascontiguousarray(x.T, dtype=np.intp)
+        forward = np.empty((len(x) - 2 * CONTEXT, x.shape[1], self.net.width), np.float32)
+        backward = np.empty_like(forward)
+        with np.errstate(over="ignore"):
+            self._read(x[: len(x) - CONTEXT], "f", forward)
+            self._read(x[:CONTEXT - 1 : -1], "b", backward)
+        y = forward @ self.out[0]
+        y += backward[::-1] @ self.out[1]
+        y += self.out[2]
+        y -= y.max(axis=2, keepdims=True)
+        np.exp(y, out=y)
+        y /= y.sum(axis=2, keepdims=True)
+        return y
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """(texts, labels + 1): the sums over the positions of each text's words, and the positions.
-
-        The words of all the texts that aren't known are labelled together.
-        """
-        words = [text.split() for text in texts]
-        known: set[bytes] = set()
-        known.update(*words)
-        self.learn(known)
-        out = np.zeros((len(texts), self.table.shape[1]), np.float64)
-        for k, own in enumerate(words):
-            if own:
-                out[k] = self.table[list(map(self.__getitem__, own))].sum(axis=0, dtype=np.float64)
+        """(texts, labels + 1): the sums over the positions of each text's letters, and their number."""
+        out, held, total = np.zeros((len(texts), len(self.net.labels) + 1)), 0, 0
+        for k, t in enumerate(texts):
+            if k > held and total + len(t) > HELD:
+                self._pool(texts[held:k], out[held:k])
+                held, total = k, 0
+            total += len(t)
+        if held < len(texts):
+            self._pool(texts[held:], out[held:])
         return out
 
-
-def slices(texts: list[bytes], rows: int = 600, size: int = 4 << 20):
-    """Runs of texts of bounded number and bytes."""
-    held, total = [], 0
-    for t in texts:
-        if held and (len(held) >= rows or total + len(t) > size):
-            yield held
-            held, total = [], 0
-        held.append(t)
-        total += len(t)
-    if held:
-        yield held
+    def _pool(self, texts: list[bytes], out: np.ndarray) -> None:
+        gap = 2 * CONTEXT
+        size = np.array([len(t) for t in texts])
+        start = np.cumsum(size + gap) - size
+        data = np.full(int((size + gap).sum()) + gap + SPAN, NONE, np.uint16)
+        for a, t in zip(start.tolist(), texts, strict=True):
+            data[a : a + len(t)] = np.frombuffer(t, np.uint8)
+        count = -(-size // SPAN)
+        text = np.repeat(np.arange(len(texts)), count)
+        first = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * SPAN
+        length = -(-np.minimum(size[text] - first, SPAN) // CONTEXT) * CONTEXT
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            windows = np.lib.stride_tricks.sliding_window_view(data, n + 2 * CONTEXT)
+            for k in range(0, len(own), LANES):
+                lanes = own[k : k + LANES]
+                x = windows[start[text[lanes]] + first[lanes] - CONTEXT]
+                letter = _LETTER[x[:, CONTEXT : CONTEXT + n]].T
+                np.add.at(out[:, :-1], text[lanes], np.einsum("tbk,tb->bk", self.positions(x), letter, dtype=np.float64))
+                np.add.at(out[:, -1], text[lanes], letter.sum(axis=0, dtype=np.float64))
+
+
+def mixed(pairs: list[tuple[int, bytes]], seed: int = 5) -> list[tuple[bytes, np.ndarray]]:
+    """Half as many passages in which runs of words of two labels take turns, with the label of each byte."""
+    draw, out = np.random.default_rng(seed), []
+    for k in draw.permutation(len(pairs))[: len(pairs) // 2].tolist():
+        other = int(draw.integers(len(pairs)))
+        sides, labels = [_WORD.findall(pairs[j][1]) for j in (k, other)], (pairs[k][0], pairs[other][0])
+        if labels[0] == labels[1]:
+            continue
+        most, parts, marks, side, at = int(draw.choice([1, 2, 8])), [], [], 0, [0, 0]
+        while any(a < len(words) for a, words in zip(at, sides, strict=True)):
+            n = int(draw.integers(1, most + 1))
+            run = b"".join(sides[side][at[side] : at[side] + n])
+            at[side] += n
+            parts.append(run)
+            marks.append(np.full(len(run), labels[side]))
+            side = 1 - side
+        n = max(x for x in PASSAGES if x <= max(PASSAGES[0], sum(map(len, parts))))
+        text = b"".join(parts)[:n]
+        out.append((text, np.concatenate(marks)[:n]))
+    return out
 
 
 def held_out(i: Column) -> Column:
@@ -218,59 +283,54 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A network fitted on the bounded sample; none where no row is labelled."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = [r["id"] for r in rows.select("id", "lang").withColumn("place", place).where(F.col("place") <= per_language).collect()]
-    if not chosen:
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()}
+    if not counts:
         return None
-
-    def draw_words(batches):
+    # Ids below a bound of their hash, about twice as many as are wanted, so that none but these meet.
+    place, most = F.pmod(F.xxhash64("id"), F.lit(1 << 40)), 1 << 40
+    bound = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, most if n <= 2 * per_language + 200 else most * (2 * per_language + 200) // n)])[F.col("lang")]
+    near = rows.select("id", "lang", place.alias("place")).where(F.col("place") < bound).distinct().collect()
+    by_lang: dict[str, list] = defaultdict(list)
+    for r in near:
+        by_lang[r["lang"]].append((r["place"], r["id"]))
+    chosen = sorted({i for own in by_lang.values() for _, i in sorted(own)[:per_language]})
+
+    def draw_passages(batches):
         for batch in batches:
-            langs, words = [], []
-            for i, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = text.encode().split()
-                draw = np.random.default_rng(i % (1 << 63))
-                own = own if len(own) <= per_document else [own[k] for k in np.sort(draw.choice(len(own), per_document, replace=False))]
-                for w in own:
-                    for part in pieces(w):
-                        if any(c.isalpha() for c in part.decode("utf-8", "replace")):
-                            langs.append(lang)
-                            words.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary())], names=["lang", "word"])
-
-    sample = rows.where(F.col("id").isin(chosen)).mapInArrow(draw_words, "lang string, word binary").collect()
-    pairs = sorted((r["lang"], bytes(r["word"])) for r in sample)
+            langs, passages = [], []
+            for i, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not _HAS_LETTER.search(text):
+                    continue
+                own, draw = text.encode(), np.random.default_rng(i % (1 << 63))
+                for k in range(per_document):
+                    n = min(len(own), PASSAGES[-1] if k % 2 == 0 else PASSAGES[k // 2 % (len(PASSAGES) - 1)])
+                    a = 0 if k == 0 else int(draw.integers(len(own) - n + 1))
+                    langs.append(lang)
+                    passages.append(own[a : a + n])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(passages, pa.binary())], names=["lang", "passage"])
+
+    sample = rows.where(F.col("id").isin(chosen)).groupBy("id", "lang").agg(F.min("text").alias("text")).mapInArrow(draw_passages, "lang string, passage binary").collect()
+    pairs = sorted((r["lang"], bytes(r["passage"])) for r in sample)
     if not pairs:
         return None
     labels = sorted({lang for lang, _ in pairs})
     place_of = {x: k for k, x in enumerate(labels)}
     net = ByteGru(labels)
-    net.train([w for _, w in pairs], [place_of[x] for x, _ in pairs], epochs)
+    own = [(place_of[x], w) for x, w in pairs]
+    more = mixed(own)
+    net.train([w for _, w in own] + [w for w, _ in more], [y for y, _ in own] + [y for _, y in more], epochs)
     return net
 
 
-_kept: dict[bytes, WordLabels] = {}
-
-
-def _labels(net: ByteGru) -> WordLabels:
-    """This Python worker's cache for a network."""
-    mark = net.p["E"].tobytes()
-    if mark not in _kept:
-        _kept.clear()
-        _kept[mark] = WordLabels(net)
-    return _kept[mark]
-
-
-def predict(net: ByteGru | None, texts: list[bytes]) -> list[tuple[str, float]]:
-    if net is None:
-        return [(UNKNOWN, 0.0)] * len(texts)
-    labels, out = _labels(net), []
-    for own in (row for part in slices(texts) for row in labels.pooled(part)):
-        if not own[-1]:
-            out.append((UNKNOWN, 0.0))
-            continue
-        p = own[:-1] / own[-1]
-        k = int(p.argmax())
-        out.append((net.labels[k], float(min(1.0, p[k]))))
+def predict(reader: Reader | None, texts: list[str]) -> list[tuple[str, float]]:
+    """The label and its share of each text."""
+    spoken = [k for k, t in enumerate(texts) if t and _HAS_LETTER.search(t)] if reader else []
+    out = [(UNKNOWN, 0.0)] * len(texts)
+    if spoken:
+        for k, own in zip(spoken, reader.pooled([texts[k].encode() for k in spoken]), strict=True):
+            p = own[:-1] / own[-1]
+            best = int(p.argmax())
+            out[k] = (reader.net.labels[best], float(min(1.0, p[best])))
     return out
 
 
@@ -278,8 +338,9 @@ def identify(docs: DataFrame, net: ByteGru | None, id_col: str = "doc_id", text_
     """doc_id, held_out, lang_pred and score of each of ``docs``; only the text is read for a prediction."""
 
     def run(batches):
+        reader = net.reader() if net else None
         for batch in batches:
-            got = predict(net, batch.column(2).cast(pa.binary()).to_pylist())
+            got = predict(reader, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = id_and_text(docs, id_col, text_col).select("id", held_out(F.col("id")).alias("held_out"), "text")
@@ -296,9 +357,9 @@ def accepted(docs: DataFrame, net: ByteGru | None, least: float = LEAST, text_co
     bound = threshold(len(net.labels), least) if net else 0.0
 
     def run(batches):
+        reader = net.reader() if net else None
         for batch in batches:
-            texts = [b"" if t is None else t for t in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()]
-            keep = [x != UNKNOWN and s >= bound for x, s in predict(net, texts)]
+            keep = [x != UNKNOWN and s >= bound for x, s in predict(reader, batch.column(batch.schema.get_field_index(text_col)).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
