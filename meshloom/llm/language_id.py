@@ -174,8 +174,8 @@ class Reader:
             table[:NONE] = net.p["E"] @ net.p[f"W{d}"] + net.p[f"a{d}"]
             table[NONE, n : 2 * n] = 60  # the state stays
             u = net.p[f"U{d}"].astype(f)
-            # The gates' sign is turned, as their exponential takes it.
-            self.d[d] = [np.ascontiguousarray(x) for x in (-table[:, : 2 * n], table[:, 2 * n :], -u[:, : 2 * n], u[:, 2 * n :])]
+            # A gate is (1 + tanh(x / 2)) / 2, which is quicker than by an exponential; the reset gate's half is in its weights.
+            self.d[d] = [np.ascontiguousarray(x) for x in (table[:, : 2 * n] / 2, table[:, 2 * n :], u[:, : 2 * n] / 2, u[:, 2 * n :] / 2)]
         self.out = [np.ascontiguousarray(net.p["V"][:n], f), np.ascontiguousarray(net.p["V"][n:], f), net.p["c"].astype(f)]
 
     def _read(self, x: np.ndarray, d: str, out: np.ndarray) -> None:
@@ -184,14 +184,13 @@ class Reader:
         n, lanes = un.shape[0], x.shape[1]
         h, g, own = np.zeros((lanes, n), np.float32), np.empty((lanes, 2 * n), np.float32), np.empty((lanes, 2 * n), np.float32)
         new, mine = np.empty((lanes, n), np.float32), np.empty((lanes, n), np.float32)
-        r, z, skip = g[:, :n], g[:, n:], len(x) - len(out)
+        r, z, skip, half = g[:, :n], g[:, n:], len(x) - len(out), np.float32(0.5)
         for t in range(len(x)):
             np.take(gates, x[t], axis=0, out=g, mode="clip")
             np.dot(h, ug, out=own)
             g += own
-            np.exp(g, out=g)
+            np.tanh(g, out=g)
             g += 1
-            np.reciprocal(g, out=g)
             np.take(news, x[t], axis=0, out=new, mode="clip")
             np.dot(h, un, out=mine)
             mine *= r
@@ -199,25 +198,27 @@ class Reader:
             np.tanh(new, out=new)
             h -= new
             h *= z
+            h *= half
             h += new
             if t >= skip:
                 out[t - skip] = h
 
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """(positions, windows, labels): the probabilities at the positions between both contexts of windows (windows, bytes)."""
+        """(labels, positions, windows): the probabilities at the positions between both contexts of windows (windows, bytes)."""
         x = np.ascontiguousarray(x.T, dtype=np.intp)
         forward = np.empty((len(x) - 2 * CONTEXT, x.shape[1], self.net.width), np.float32)
         backward = np.empty_like(forward)
-        with np.errstate(over="ignore"):
-            self._read(x[: len(x) - CONTEXT], "f", forward)
-            self._read(x[:CONTEXT - 1 : -1], "b", backward)
-        y = forward @ self.out[0]
-        y += backward[::-1] @ self.out[1]
+        self._read(x[: len(x) - CONTEXT], "f", forward)
+        self._read(x[: CONTEXT - 1 : -1], "b", backward[::-1])
+        n = self.net.width
+        y = forward.reshape(-1, n) @ self.out[0]
+        y += backward.reshape(-1, n) @ self.out[1]
         y += self.out[2]
-        y -= y.max(axis=2, keepdims=True)
+        y = np.ascontiguousarray(y.T)
+        y -= y.max(axis=0)
         np.exp(y, out=y)
-        y /= y.sum(axis=2, keepdims=True)
-        return y
+        y /= y.sum(axis=0)
+        return y.reshape(len(y), *forward.shape[:2])
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """(texts, labels + 1): the sums over the positions of each text's letters, and their number."""
@@ -249,7 +250,9 @@ class Reader:
                 lanes = own[k : k + LANES]
                 x = windows[start[text[lanes]] + first[lanes] - CONTEXT]
                 letter = _LETTER[x[:, CONTEXT : CONTEXT + n]].T
-                np.add.at(out[:, :-1], text[lanes], np.einsum("tbk,tb->bk", self.positions(x), letter, dtype=np.float64))
+                seen = self.positions(x)
+                seen *= letter
+                np.add.at(out[:, :-1], text[lanes], seen.sum(axis=1, dtype=np.float64).T)
                 np.add.at(out[:, -1], text[lanes], letter.sum(axis=0, dtype=np.float64))
 
 
