@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor a checkpoint folder exists (as in tests
-    on one machine) a folder of this machine is set.
+    Only where neither the setting nor a checkpoint folder exists, and the master
+    is this process (as in tests), a folder of this machine is set; on a cluster
+    that is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         there = "file://" + os.path.join(tempfile.gettempdir(), "meshloom-checkpoints")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
@@ -102,26 +108,44 @@ def keep_rows(docs: DataFrame, key: Column, kept: DataFrame, first: Column | Non
     return found.withColumn("__meshloom_place", place).where("__meshloom_place = 1").select(*[found[c] for c in docs.columns])
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of texts that a cell has on the average, on a small table the least, and the most cells there are; beyond, cells grow and are streamed.
+CELL_BYTES, LEAST_BYTES, MOST_CELLS = 16 << 20, 1 << 20, 8192
 
 
 class Cells:
     """Contiguous ranges of ids, in order, so that work on ordered rows needs no global sort.
 
-    The range from the smallest to the largest id is cut into cells of equal
-    width. A null id counts as smaller than all others and has cell -1.
-    ``per_partition`` cells for each shuffle partition bound what the driver
-    holds: one smallest id for each cell that has rows.
+    The number of cells follows the bytes of the texts, their bounds are
+    quantiles of the ids, so that neither far-off ids nor the partitions make a
+    cell large. Any 64-bit ids will do. A null id counts as smaller than all
+    others. A bound is the least id of its cell; the driver holds the bounds
+    alone, ``MOST_CELLS`` at most. A table is read once more, ids and lengths.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", per_partition: int = 4):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CELL_BYTES):
         i = docs[id_col].cast("long")
-        lo, hi = docs.agg(F.min(i), F.max(i)).first()
-        self.lo = lo or 0
-        span = (hi or 0) - self.lo + 1
-        self.width = max(1, -(-span // (per_partition * partitions(docs.sparkSession))))
+        total, nulls, lo = docs.agg(F.sum(F.coalesce(F.octet_length(docs[text_col].cast("string")), F.lit(0)).cast("long") + 64), F.max(i.isNull()), F.min(i)).first()
+        # Smaller cells on a small table, two for each partition, so that no task has many.
+        few = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = min(MOST_CELLS, max(1, -(-(total or 0) // size), min(few, (total or 0) // LEAST_BYTES)))
+        found = docs.agg(F.percentile_approx(i, [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else None
+        self.bounds = sorted({x for x in (lo, *(found or ())) if x is not None})
+        self.nulls = bool(nulls)
+
+    def __len__(self) -> int:
+        return max(1, len(self.bounds))
 
     def of(self, i: Column) -> Column:
-        """The cell of an id: a whole-number division, exact for any 64-bit ids whose range fits in 63 bits."""
-        return F.coalesce(F.call_function("div", i - F.lit(self.lo), F.lit(self.width)), F.lit(-1)).cast("long")
+        """2 * cell of an id, and 1 more where the id is the least of its cell; of a null id as of what is less than all ids."""
+        bounds = np.array(self.bounds, dtype=np.int64)
+
+        @F.arrow_udf("long")
+        def place(ids: pa.Array) -> pa.Array:
+            cells = np.zeros(len(ids), np.int64)
+            if len(bounds):
+                own = ids.drop_null().to_numpy(zero_copy_only=False)
+                at = np.searchsorted(bounds, own, side="right") - 1
+                cells[ids.is_valid().to_numpy(zero_copy_only=False)] = 2 * at + (bounds[at] == own)
+            return pa.array(cells)
+
+        return place(i)

@@ -2,8 +2,8 @@
 
 Texts are equal when their bytes are, after white space is deleted. Each scan
 task collapses the copies that it meets, so that of a text with many copies
-each task sends few. The top bits of a 64-bit key give the owner, whose key
-range is dealt to one task; it merges each of its rows into its extendible-hash
+each task sends few. The top bits of a 64-bit key give the owner, more of them
+the more rows there are; its key range is dealt to one task; it merges each of its rows into its extendible-hash
 index: a directory over the key's leading bits that doubles when an overfull
 bucket of full depth splits. ``merge`` goes through the chain of the row's key,
 compares bytes, and adds to the entry of an equal text or chains a new one. Rows
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from meshloom.llm.common import SPACES, filesystem, id_and_text, scratch, write_file
 
-OWNER_BITS = 10
+#: Texts that an owner's index has on the average at most, and the least bits of the key that name an owner.
+OWNER_TEXTS, OWNER_BITS = 50_000, 10
 #: Bytes of texts that a scan task remembers to collapse its copies.
 LOCAL_BYTES = 24 << 20
 #: A group's row is copied to this many salts, so that a large group's members meet it in many tasks.
@@ -136,14 +137,23 @@ def _better(a, b):
     return min(a, b, key=lambda x: (-x[0], x[1] is None, x[1] or 0))
 
 
-def _collapse(batches):
+def owner_bits(rows: int) -> int:
+    """The leading bits of the key that name an owner, so that its index stays small at any size of the table."""
+    return max(OWNER_BITS, (rows // OWNER_TEXTS).bit_length())
+
+
+def _collapse(bits: int):
     """Rows of texts to partial entries, one for each text that a task remembers."""
+    return lambda batches: _collapsed(batches, bits)
+
+
+def _collapsed(batches, bits: int):
     kept: dict[bytes, list] = {}
     size = 0
     schema = pa.schema([("owner", pa.int32()), ("key", pa.int64()), ("sha", pa.string()), ("norm", pa.binary()), ("best_n", pa.int64()), ("best_id", pa.int64()), ("copies", pa.int64())])
 
     def flush():
-        rows = [(int.from_bytes(d[:8], "big") >> (64 - OWNER_BITS), int.from_bytes(d[:8], "big", signed=True), d.hex(), norm, *best, n) for d, entries in kept.items() for norm, best, n in entries]
+        rows = [(int.from_bytes(d[:8], "big") >> (64 - bits), int.from_bytes(d[:8], "big", signed=True), d.hex(), norm, *best, n) for d, entries in kept.items() for norm, best, n in entries]
         kept.clear()
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -165,12 +175,12 @@ def _collapse(batches):
         yield flush()
 
 
-def _owner(folder: str, capacity: int):
+def _owner(folder: str, capacity: int, bits: int):
     """Rows in order of owner and key to groups of two or more, through each owner's index."""
     schema = pa.schema([("key", pa.int64()), ("sha", pa.string()), ("keep_id", pa.int64()), ("keep_n", pa.int64()), ("group_size", pa.int64())])
 
     def close(owner, index):
-        write_file(f"{folder}/owner-{owner:05d}.xhi", [index.dump()])
+        write_file(f"{folder}/owner-{owner:08d}.xhi", [index.dump()])
         rows = [(k - (1 << 64) if k >= 1 << 63 else k, sha, i, n, c) for k, (n, i, c, sha) in index.entries() if c > 1]
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(schema.types)], schema=schema)
 
@@ -181,7 +191,7 @@ def _owner(folder: str, capacity: int):
                 if o != owner:
                     if index is not None:
                         yield close(owner, index)
-                    owner, index = o, ExtendibleIndex(capacity, OWNER_BITS)
+                    owner, index = o, ExtendibleIndex(capacity, bits)
                 index.merge(k & unsigned, norm, (n, i, copies, sha))
         if index is not None:
             yield close(owner, index)
@@ -192,9 +202,10 @@ def _owner(folder: str, capacity: int):
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 64, index_dir: str | None = None) -> DataFrame:
     """(key, sha, keep_id, keep_n, group_size) of each text that two or more rows have."""
     rows = id_and_text(docs, id_col, text_col)
-    partial = rows.select("id", "text", F.length("text").cast("long").alias("n")).mapInArrow(_collapse, PARTIAL)
+    bits = owner_bits(docs.count())
+    partial = rows.select("id", "text", F.length("text").cast("long").alias("n")).mapInArrow(_collapse(bits), PARTIAL)
     owned = partial.repartition("owner").sortWithinPartitions("owner", "key")
-    return owned.mapInArrow(_owner(index_dir or scratch(docs.sparkSession, "exact-index"), capacity), GROUP)
+    return owned.mapInArrow(_owner(index_dir or scratch(docs.sparkSession, "exact-index"), capacity, bits), GROUP)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 64, index_dir: str | None = None) -> DataFrame:

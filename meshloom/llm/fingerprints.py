@@ -9,7 +9,9 @@ with their lengths; containment weighs each digest by its bytes.
 Defined results: a null text is empty; an empty text has the empty
 fingerprint, alike (1) to another empty one and unlike (0) to any other. A null
 id comes first; rows of one id are in order of their text. The next of the last
-is the first, so a table's only row is its own next. Extra columns go.
+is the first, so a table's only row is its own next. Any 64-bit ids will do, and
+texts of any length, one at a time. Extra columns go, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -78,10 +80,9 @@ def chunks(texts: list[bytes]) -> list[dict[int, int]]:
     for t in texts:
         stop = at + len(t)
         head = np.frombuffer(t[:63], dtype=np.uint8)
-        top = gear(head) >> np.uint64(64 - STRICT) if len(head) else head
-        own = np.flatnonzero(top < 1 << (STRICT - LOOSE)) if len(head) else head
-        hl = (own + at + 1).tolist()
-        hs = (own[top[own] == 0] + at + 1).tolist() if len(head) else []
+        top = gear(head) >> np.uint64(64 - STRICT)
+        own = np.flatnonzero(top < 1 << (STRICT - LOOSE))
+        hl, hs = (own + at + 1).tolist(), (own[top[own] == 0] + at + 1).tolist()
         l, s = bisect_left(loose, at + 64, l), bisect_left(strict, at + 64, s)
         l2, s2 = bisect_left(loose, stop + 1, l), bisect_left(strict, stop + 1, s)
         got = chunk_ends(at, stop, hs + strict[s:s2], hl + loose[l:l2], 0, 0)
@@ -161,19 +162,14 @@ def _run(batches):
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(cell, ahead, id, text) dealt by cell and in order; each cell ends with the first row of the next cell."""
-    cells = Cells(docs, id_col)
-    rows = id_and_text(docs, id_col, text_col).withColumn("cell", cells.of(F.col("id")))
-    heads = sorted(((r["cell"], r["h"]) for r in rows.groupBy("cell").agg(F.min("id").alias("h")).collect()))  # one for each cell at most
-    if not heads:
-        return rows.select("cell", F.lit(False).alias("ahead"), "id", "text")
-    # A head also goes to the cell before its own. Of rows that share its id, all go; the first in order counts.
-    before = {h: heads[k - 1][0] for k, (_, h) in enumerate(heads)}
-    known = [x for x in before if x is not None]
-    table = F.create_map(*[F.lit(x) for h in known for x in (h, before[h])]) if known else None
-    target = F.when(F.col("id").isNull(), F.lit(before.get(None))) if None in before else F.when(F.lit(False), F.lit(0))
-    if known:
-        target = target.when(F.col("id").isin(known), table[F.col("id")])
-    extra = F.when(target.isNotNull(), F.array(F.struct(F.col("cell"), F.lit(False).alias("ahead")), F.struct(target.cast("long").alias("cell"), F.lit(True).alias("ahead")))).otherwise(F.array(F.struct(F.col("cell"), F.lit(False).alias("ahead"))))
+    cells = Cells(docs, id_col, text_col)
+    rows = id_and_text(docs, id_col, text_col).withColumn("code", cells.of(F.col("id")))
+    cell, head, last = F.shiftright("code", 1), F.col("code").bitwiseAND(1) == 1, len(cells) - 1
+    # A cell's head also goes to the cell before its own, the table's to the last. Of rows that share its id, all go; the first in order counts.
+    first = F.col("id").isNull() if cells.nulls else head & (cell == 0)
+    before = F.when(first, F.lit(last)).when(head & (cell > 0), cell - 1)
+    own = F.struct(cell.cast("long").alias("cell"), F.lit(False).alias("ahead"))
+    extra = F.when(before.isNotNull(), F.array(own, F.struct(before.cast("long").alias("cell"), F.lit(True).alias("ahead")))).otherwise(F.array(own))
     spread = rows.select(F.explode(extra).alias("to"), "id", "text").select("to.cell", "to.ahead", "id", "text")
     return spread.repartition("cell").sortWithinPartitions("cell", "ahead", "id", "text")
 

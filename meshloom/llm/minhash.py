@@ -2,10 +2,14 @@
 
 Rows with equal shingle sets are one class, named by its smallest id; only
 classes go on. Each has the minima of many universal hashes of its set; a band
-of them is a bucket key. Buckets give candidate components, by large-star and
-small-star. What must be linked shares a bucket (the threshold gives the number
-and length of bands, so that a link at it is missed with a chance below 3e-7: 32
-bands of 6 at 0.85, 38 of 5 at 0.80), so it is in one candidate component. Links are confirmed on full sets:
+of them is a bucket key. What must be linked shares a bucket (the threshold
+gives the number and length of bands, so that a link at it is missed with a
+chance below 3e-7: 32 bands of 6 at 0.85, 38 of 5 at 0.80). Of buckets with the
+same members one counts. Inside a bucket of bounded size the signatures are
+verified before anything is closed over: only pairs whose signatures agree tie
+their documents together, so a chance meeting in a band ties nothing; a larger
+bucket's members are tied to its least id. These ties give candidate components,
+by large-star and small-star. Links are confirmed on full sets:
 
 * a component of bounded size is read by one task, which compares its pairs,
   the signatures first, and skips pairs already connected;
@@ -114,11 +118,12 @@ def _sketch(words: int, bands: int, rows: int):
                 full = [k for k, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 bits: list = [None] * len(sets)
+                sigs: list = [None] * len(sets)
                 if full:
-                    b = band_keys(minima([sets[k] for k in full], bands * rows), bands, rows)
-                    for k, row in zip(full, b, strict=True):
-                        keys[k], bits[k] = _set_key(sets[k]), row.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), part.column(2)], names=["id", "n", "set_key", "bands", "sha"])
+                    least = minima([sets[k] for k in full], bands * rows)
+                    for k, row, sig in zip(full, band_keys(least, bands, rows), signature(least), strict=True):
+                        keys[k], bits[k], sigs[k] = _set_key(sets[k]), row.tobytes(), sig.tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), pa.array(sigs, pa.binary()), part.column(2)], names=["id", "n", "set_key", "bands", "sig", "sha"])
 
     return run
 
@@ -131,6 +136,52 @@ def _unpack(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids, [len(b) // 8 for b in bands]) if bands else keys)], names=["bucket", "id"])
 
 
+def _ties(num: int, den: int):
+    """Ties inside each bucket, of rows (bucket, id, signature) in order of the bucket: a tree of each cluster of like signatures."""
+    least = num / den - SLACK
+
+    def settle(ids, sigs):
+        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1)
+        cluster = np.arange(len(ids))
+        for k in range(1, len(ids)):
+            for j in np.flatnonzero((sig[:k] == sig[k]).mean(axis=1) >= least).tolist():
+                if cluster[j] != cluster[k]:
+                    cluster[cluster == cluster[j]] = cluster[k]
+                    yield ids[j], ids[k]
+
+    def run(batches):
+        bucket, ids, sigs, out = None, [], [], []
+        for batch in batches:
+            for b, i, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket:
+                    out += settle(ids, sigs) if len(ids) > 1 else []
+                    bucket, ids, sigs = b, [], []
+                ids.append(i)
+                sigs.append(sig)
+            yield _edges(out)
+            out = []
+        yield _edges(list(settle(ids, sigs)) if len(ids) > 1 else [])
+
+    return run
+
+
+def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): ties between classes that share a bucket, a tree of each bucket's like members."""
+    exploded = spool(classes.select(F.col("rep").alias("id"), "bands").mapInArrow(_unpack, "bucket long, id long"), "buckets")
+    low, high = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("h", 32)
+    met = exploded.withColumn("h", F.xxhash64("id")).groupBy("bucket").agg(F.count("*").alias("k"), F.min("id").alias("top"), F.sum(low).alias("s1"), F.sum(high).alias("s2")).where("k > 1")
+    # Buckets with the same number, least id and sums of hashes have the same members.
+    met = met.groupBy("k", "top", "s1", "s2").agg(F.min("bucket").alias("bucket"))
+    met = met.select("bucket", "top", (F.col("k") <= SMALL_NODES).alias("few"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("salt"))
+    shared = spool(exploded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int")).join(met, ["bucket", "salt"]).select("bucket", "id", "top", "few"), "shared-buckets")
+    drop(exploded)
+    signed = shared.where("few").select("bucket", "id").join(classes.select(F.col("rep").alias("id"), "sig"), "id").select("bucket", "id", "sig")
+    tied = signed.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_ties(num, den), "u long, v long")
+    ties = spool(tied.unionByName(shared.where("not few").select(F.col("id").alias("u"), F.col("top").alias("v"))).distinct(), "ties")
+    drop(shared)
+    return ties
+
+
 def _sets(words: int, n: int):
     def run(batches):
         for batch in batches:
@@ -294,22 +345,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, rows = banding(threshold, bands, rows)
     texts = id_and_text(docs, id_col, text_col)
     digest = F.sha2(F.col("text").cast("binary"), 256)
-    made = spool(texts.withColumn("sha", digest).mapInArrow(_sketch(words, bands, rows), "id long, n long, set_key binary, bands binary, sha string"), "sketches")
+    made = spool(texts.withColumn("sha", digest).mapInArrow(_sketch(words, bands, rows), "id long, n long, set_key binary, bands binary, sig binary, sha string"), "sketches")
     full = made.where("id is not null and n > 0")
-    classes = full.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("bands").alias("bands"))
-    classes = spool(classes, "classes")
-    exploded = spool(classes.select(F.col("rep").alias("id"), "bands").mapInArrow(_unpack, "bucket long, id long"), "buckets")
-    top = exploded.groupBy("bucket").agg(F.min("id").alias("top"), F.count("*").alias("k")).where("k > 1").select("bucket", "top", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("salt"))
-    shared = spool(exploded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int")).join(top, ["bucket", "salt"]).select("bucket", "id", "top"), "shared-buckets")
-    drop(exploded)
-    nodes = components(shared.select(F.col("id").alias("u"), F.col("top").alias("v")))
+    classes = spool(full.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("bands").alias("bands"), F.min("sig").alias("sig")), "classes")
+    ties = _candidates(classes, num, den)
+    nodes = components(ties)
+    drop(ties)
     nodes = nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
     weight = nodes.join(classes.select(F.col("rep").alias("node"), "n"), "node").groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     weight = weight.select("root", ((F.col("k") <= SMALL_NODES) & (F.col("s") <= SMALL_SHINGLES)).alias("small"))
     chosen = nodes.join(weight, "root").select(F.col("node").alias("id"), "root", "small")
     # An id that several rows have goes with each of its texts.
     sets = spool(texts.join(chosen, "id").select("id", "text", "root", "small").mapInArrow(_sets(words, bands * rows), "id long, root long, small boolean, sig binary, shingles binary"), "sets")
-    drop(shared)
     links = sets.where("small").select("root", "id", "sig", "shingles").repartition("root").sortWithinPartitions("root", "id").select("id", "root", "sig", "shingles").mapInArrow(_small(num, den), "u long, v long")
     if not sets.where("not small").isEmpty():
         links = links.unionByName(_large(sets, num, den))

@@ -13,8 +13,9 @@ descriptor and a magic number. A reader opens the file at its end, finds the
 frames that hold the documents asked for, and decompresses only those.
 
 Defined results: a null text is empty and has only the end id; a null id comes
-first; rows of one id keep an order by their text. An empty table writes no
-file and gives an empty result.
+first; rows of one id keep an order by their text. Any 64-bit ids will do; a
+text of any length is a frame by itself. Extra columns go, whatever their names.
+An empty table writes no file and gives an empty result.
 """
 
 from __future__ import annotations
@@ -161,12 +162,12 @@ def _runs(batches):
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocabulary: str | None = None, frame_ids: int = FRAME_IDS) -> list[tuple[int, str, int, int]]:
     """Write the shards; returns their manifest (cell, path, documents, ids) in order of the ids.
 
-    The manifest has a row for each file; their number follows the shuffle
-    partitions, not the documents.
+    The manifest has a row for each file; their number follows the bytes, up
+    to a bound.
     """
-    cells = Cells(docs, id_col, per_partition=2)
+    cells = Cells(docs, id_col, text_col)
     rows = id_and_text(docs, id_col, text_col)
-    dealt = rows.select(cells.of(F.col("id")).alias("cell"), "id", "text").repartition("cell").sortWithinPartitions("cell", "id", "text")
+    dealt = rows.select(F.shiftright(cells.of(F.col("id")), 1).alias("cell"), "id", "text").repartition("cell").sortWithinPartitions("cell", "id", "text")
     made = dealt.mapInArrow(_write(folder, vocabulary or default_vocabulary(), end_id, frame_ids), "cell long, path string, docs long, ids long")
     return sorted(tuple(r) for r in made.collect())
 

@@ -77,6 +77,10 @@ def test_extendible_index_merges_equal_texts_by_their_bytes():
     assert got == want and sum(1 for _ in index.entries()) == len(want)
 
 
+def test_owners_follow_the_rows():
+    assert [exact_dedup.owner_bits(n) for n in (0, 10**6, 10**9, 10**12)] == [10, 10, 15, 25]
+
+
 def test_exact_dedup(spark, tmp_path):
     rows = odd_rows()
     rows += [(70, "twin"), (70, "twin"), (71, None), (None, "twin")]
@@ -351,6 +355,34 @@ def test_links_at_the_threshold_share_a_band():
     assert (1 - 0.8**5) ** 38 < minhash.MISS
 
 
+def test_only_like_signatures_tie_members_of_a_bucket():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(19)
+    base = draw.integers(0, 256, 192, dtype=np.uint8)
+    near = base.copy()
+    near[:20] = draw.integers(0, 256, 20)
+    sigs = [base, near, draw.integers(0, 256, 192, dtype=np.uint8), base, draw.integers(0, 256, 192, dtype=np.uint8)]
+    rows = [(b, k, s.tobytes()) for b in (1, 2) for k, s in enumerate(sigs)] + [(3, 9, base.tobytes())]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["bucket", "id", "sig"])
+    got = [tuple(e.values()) for out in minhash._ties(85, 100)([batch.slice(0, 3), batch.slice(3)]) for e in out.to_pylist()]
+    assert sorted(got) == [(0, 1), (0, 1), (0, 3), (0, 3)]
+
+
+def test_signatures_of_links_at_the_threshold_agree():
+    draw = np.random.default_rng(20)
+    for num, shared in ((85, 17), (80, 8)):
+        bands, rows = minhash.banding((num, 100))
+        x = draw.integers(0, 2**64, (5000, (20 if num == 85 else 10) * 3), dtype=np.uint64)
+        own = shared * 3  # of both; the rest is halved between the two
+        a = np.concatenate([x[:, :own], x[:, own : (own + x.shape[1]) // 2]], axis=1)
+        b = np.concatenate([x[:, :own], x[:, (own + x.shape[1]) // 2 :]], axis=1)
+        least = [minhash.minima(list(s), bands * rows) for s in (a, b)]
+        sa, sb = (minhash.signature(m) for m in least)
+        assert ((sa == sb).mean(axis=1) >= num / 100 - minhash.SLACK).all()
+        assert (minhash.band_keys(least[0], bands, rows) == minhash.band_keys(least[1], bands, rows)).any(axis=1).all()
+
+
 # Personal data ----------------------------------------------------------------------
 
 
@@ -457,6 +489,57 @@ def test_fingerprints(spark):
     assert next(v for (i, _), v in got.items() if i == 90)["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("least", [1 << 20, 300])
+def test_cells_of_far_off_ids(spark, encoder, monkeypatch, tmp_path, least):
+    from meshloom.llm import common
+
+    monkeypatch.setattr(common, "LEAST_BYTES", least)
+    rows = [(k, f"text {k} " * 20) for k in range(200)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "greatest " * 9), (1 << 62, None), (None, "none"), (None, "none too")]
+    random.Random(17).shuffle(rows)
+    docs = documents(spark, rows)
+    cells = common.Cells(docs)
+    sizes = docs.select(cells.of(docs["doc_id"]).alias("c")).selectExpr("shiftright(c, 1) AS c").groupBy("c").count().collect()
+    assert len(cells) == 1 if least > 300 else len(cells) > 4 and max(r["count"] for r in sizes) < len(rows) / 2
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    got = fingerprints.fingerprints(docs).collect()
+    want = [(i, hashlib.sha256(fingerprints.edited(t or "", order[(k + 1) % len(order)][1] or "").encode()).hexdigest()) for k, (i, t) in enumerate(order)]
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in got), key=str) == sorted(want, key=str)
+    start = 0
+    found = sorted(map(tuple, token_files.round_trip(docs, folder=f"file://{tmp_path}/ids").collect()), key=lambda r: r[1])
+    for (i, t), r in zip(order, found, strict=True):
+        ids = ids_of(encoder, t)
+        assert r == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def plain_chunks(data):
+    """The chunks' ends, byte by byte: the gear hash of up to 64 bytes, a stricter mask before the normal size."""
+    out, start, mask = [], 0, (1 << 64) - 1
+    top = [sum(int(fingerprints._GEAR[data[k - j]]) << j for j in range(min(64, k + 1))) & mask for k in range(len(data))]
+    while start < len(data):
+        end = min(start + fingerprints.MOST, len(data))
+        for k in range(start + fingerprints.LEAST, end + 1):
+            bits = fingerprints.STRICT if k <= start + fingerprints.NORMAL else fingerprints.LOOSE
+            if top[k - 1] >> (64 - bits) == 0:
+                end = k
+                break
+        out.append(end)
+        start = end
+    return out
+
+
+def test_chunks_equal_a_plain_chunker():
+    draw = random.Random(18)
+    texts = [bytes(draw.choice(b"abcdefghijklmnop ,.") for _ in range(n)) for n in (0, 1, 15, 63, 64, 65, 200, 1500, 3000)] + [b"x" * 700, "straße été ".encode() * 50]
+    for t, own in zip(texts, fingerprints.chunks(texts), strict=True):
+        want, a = {}, 0
+        for e in plain_chunks(t):
+            d = int(fingerprints.span_hashes(np.frombuffer(t, np.uint8), np.array([a]), np.array([e]))[0])
+            want[d] = want.get(d, 0) + e - a
+            a = e
+        assert own == want
+
+
 def test_chunks_resist_shifts():
     draw = random.Random(11)
     text = bytes(draw.choice(b"abcdefghijklmnop ") for _ in range(6000))
