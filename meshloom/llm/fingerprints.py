@@ -171,7 +171,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = F.struct(cell.cast("long").alias("cell"), F.lit(False).alias("ahead"))
     extra = F.when(before.isNotNull(), F.array(own, F.struct(before.cast("long").alias("cell"), F.lit(True).alias("ahead")))).otherwise(F.array(own))
     spread = rows.select(F.explode(extra).alias("to"), "id", "text").select("to.cell", "to.ahead", "id", "text")
-    return spread.repartition("cell").sortWithinPartitions("cell", "ahead", "id", "text")
+    return spread.repartition(len(cells), "cell").sortWithinPartitions("cell", "ahead", "id", "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     """
     cells = Cells(docs, id_col, text_col)
     rows = id_and_text(docs, id_col, text_col)
-    dealt = rows.select(F.shiftright(cells.of(F.col("id")), 1).alias("cell"), "id", "text").repartition("cell").sortWithinPartitions("cell", "id", "text")
+    dealt = rows.select(F.shiftright(cells.of(F.col("id")), 1).alias("cell"), "id", "text").repartition(len(cells), "cell").sortWithinPartitions("cell", "id", "text")
     made = dealt.mapInArrow(_write(folder, vocabulary or default_vocabulary(), end_id, frame_ids), "cell long, path string, docs long, ids long")
     return sorted(tuple(r) for r in made.collect())
 
