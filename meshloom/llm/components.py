@@ -12,9 +12,9 @@ SALTS = 8
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
-    """Each (u, v) with m, the least of u and its neighbours v; the hub's rows are dealt by salt."""
+    """Each (u, v) with m, the least of u and its neighbours v; the hub's rows are dealt by salt, and nothing is broadcast."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"])
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least.hint("merge"), ["u", "salt"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

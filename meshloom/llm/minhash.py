@@ -306,6 +306,12 @@ def _blocks(num: int, den: int):
     return run
 
 
+def _with_root(rows: DataFrame, of_root: DataFrame, node: str) -> DataFrame:
+    """``rows`` with what ``of_root`` says of their root; a large root's rows are dealt by salt."""
+    spread = of_root.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("deal", F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["root", "deal"]).drop("deal")
+
+
 def _large(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links that connect what is connected in the components too large for a task."""
     big = sets.where("not small").select("id", "root", "sig", "shingles")
@@ -325,7 +331,7 @@ def _large(sets: DataFrame, num: int, den: int) -> DataFrame:
     plan = sizes.groupBy("root").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > top.n")
     blocks = lambda x, most: F.greatest(F.lit(1), F.ceil(x / most)).cast("int")
     plan = plan.select("root", F.col("top.c").alias("main"), blocks(F.col("n") - F.col("top.n"), BLOCK_QUERIES).alias("qs"), F.greatest(blocks(F.col("n"), BLOCK_NODES), blocks(F.col("s"), BLOCK_SHINGLES)).alias("ms"))
-    rows = clusters.join(plan, "root")
+    rows = _with_root(clusters, plan, "id")
     place = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["root", "q", "m", "query", "id", "c", "sig", "shingles"]
@@ -354,7 +360,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
     weight = nodes.join(classes.select(F.col("rep").alias("node"), "n"), "node").groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     weight = weight.select("root", ((F.col("k") <= SMALL_NODES) & (F.col("s") <= SMALL_SHINGLES)).alias("small"))
-    chosen = nodes.join(weight, "root").select(F.col("node").alias("id"), "root", "small")
+    chosen = _with_root(nodes, weight, "node").select(F.col("node").alias("id"), "root", "small")
     # An id that several rows have goes with each of its texts.
     sets = spool(texts.join(chosen, "id").select("id", "text", "root", "small").mapInArrow(_sets(words, bands * rows), "id long, root long, small boolean, sig binary, shingles binary"), "sets")
     links = sets.where("small").select("root", "id", "sig", "shingles").repartition("root").sortWithinPartitions("root", "id").select("id", "root", "sig", "shingles").mapInArrow(_small(num, den), "u long, v long")

@@ -513,13 +513,13 @@ def test_cells_of_far_off_ids(spark, encoder, monkeypatch, tmp_path, least):
 
 
 def plain_chunks(data):
-    """The chunks' ends, byte by byte: the gear hash of up to 64 bytes, a stricter mask before the normal size."""
+    """The chunks' ends, byte by byte: the gear hash of up to 64 bytes, a stricter mask below the normal size."""
     out, start, mask = [], 0, (1 << 64) - 1
     top = [sum(int(fingerprints._GEAR[data[k - j]]) << j for j in range(min(64, k + 1))) & mask for k in range(len(data))]
     while start < len(data):
         end = min(start + fingerprints.MOST, len(data))
         for k in range(start + fingerprints.LEAST, end + 1):
-            bits = fingerprints.STRICT if k <= start + fingerprints.NORMAL else fingerprints.LOOSE
+            bits = fingerprints.STRICT if k < start + fingerprints.NORMAL else fingerprints.LOOSE
             if top[k - 1] >> (64 - bits) == 0:
                 end = k
                 break
