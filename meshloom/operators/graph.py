@@ -6,12 +6,13 @@ partition vector is a frame (id, part).
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshloom.operators.model import Dat, Mesh, MeshError, MeshMap, MeshSet
+from meshloom.operators.model import Dat, Mesh, MeshError, MeshMap, MeshSet, cut
 
 
 def _slots(m: MeshMap) -> DataFrame:
@@ -138,9 +139,9 @@ def part_inertial(coordinates: Dat, parts: int) -> DataFrame:
     return now.select("id", "part")
 
 
-def part_graph(m: MeshMap, parts: int, rounds: int = 4) -> DataFrame:
-    """Blocks of the target set refined by moving elements to their neighbours' commonest part, while parts stay within a tenth of their share."""
-    vector, edges = part_block(m.target, parts), adjacency(m)
+def part_graph(m: MeshMap, parts: int, rounds: int = 4, start: DataFrame | None = None) -> DataFrame:
+    """Blocks of the target set, or a vector given, refined by moving elements to their neighbours' commonest part, while parts stay within a tenth of their share."""
+    vector, edges = part_block(m.target, parts) if start is None else start, adjacency(m)
     for k in range(rounds):
         near = edges.join(vector.select(F.col("id").alias("b"), "part"), "b").groupBy(F.col("a").alias("id"), "part").agg(F.count("*").alias("n"))
         top = near.groupBy("id").agg(F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("t")).select("id", (-F.col("t.p")).alias("to"), F.col("t.n").alias("most"))
@@ -154,7 +155,7 @@ def part_graph(m: MeshMap, parts: int, rounds: int = 4) -> DataFrame:
         # A share of those that want to go, by hash, so that no part overflows its room but by chance.
         chance = F.create_map(*[F.lit(x) for p in wish for x in (p, min(0.5, room[p] / wish[p]))])
         moved = F.col("to").isNotNull() & (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000 < chance[F.col("to")])
-        vector = gain.select("id", F.when(moved, F.col("to")).otherwise(F.col("part")).cast("int").alias("part")).checkpoint() if gain.sparkSession.sparkContext.getCheckpointDir() else gain.select("id", F.when(moved, F.col("to")).otherwise(F.col("part")).cast("int").alias("part"))
+        vector = cut(gain.select("id", F.when(moved, F.col("to")).otherwise(F.col("part")).cast("int").alias("part")))
     return vector
 
 
@@ -204,14 +205,51 @@ def forced_together(m: MeshMap, vector: DataFrame) -> DataFrame:
         low = rows.groupBy("from").agg(F.min("part").alias("low"))
         new = rows.join(low, "from").groupBy(F.col("to").alias("id")).agg(F.min("low").alias("low"))
         vector = vector.join(new, "id", "left").select("id", F.least("part", F.coalesce("low", "part")).alias("part"))
-        # The plan grows threefold a round unless its lineage is cut.
-        vector = vector.checkpoint() if vector.sparkSession.sparkContext.getCheckpointDir() else vector.localCheckpoint()
+        vector = cut(vector)  # the plan grows threefold a round
         now = vector.agg(F.sum("part")).first()[0]
         if now == before:
             return vector
         before = now
 
 
+def partition(mesh: Mesh, method: str, on: MeshSet, parts: int, m: MeshMap | None = None, coordinates: Dat | None = None, dat: Dat | None = None, seed: int = 0) -> dict[str, DataFrame]:
+    """Vectors of all sets, from that of ``on`` by the method named, and the frames dealt by them.
+
+    A method without what it needs, or unknown, falls back to blocks with a
+    warning; so does a set that no map leads to. Maps that are marked as forced
+    keep the targets of each of their rows together.
+    """
+    methods = {
+        "block": (True, lambda: part_block(on, parts)),
+        "random": (True, lambda: part_random(on, parts, seed)),
+        "external": (dat is not None, lambda: part_external(dat)),
+        "geometric": (coordinates is not None, lambda: part_geometric(coordinates, parts)),
+        "inertial": (coordinates is not None and coordinates.dim == 3, lambda: part_inertial(coordinates, parts)),
+        "graph": (m is not None, lambda: part_graph(m, parts)),
+        "geometric-graph": (m is not None and coordinates is not None, lambda: part_graph(m, parts, start=part_geometric(coordinates, parts))),
+    }
+    able, make = methods.get(method, (False, None))
+    if not able:
+        warnings.warn(f"partition by {method} isn't possible here; blocks stand for it", stacklevel=2)
+    vector = make() if able else part_block(on, parts)
+    for forced in mesh.maps.values():
+        if forced.forced and forced.target is on:
+            vector = forced_together(forced, vector)
+    vectors = propagate_all(mesh, {on.name: vector})
+    for name, s in mesh.sets.items():
+        vectors.setdefault(name, part_block(s, parts))
+        distribute(s, vectors[name], parts)
+    mesh.partitions = vectors
+    return vectors
+
+
+def revert(mesh: Mesh) -> None:
+    """Undo ``partition``: every frame in ranges of ids again."""
+    for name in mesh.partitions:
+        mesh.frames[name] = mesh.frames[name].repartitionByRange("id")
+    mesh.partitions = {}
+
+
 def distribute(on: MeshSet, vector: DataFrame, parts: int) -> None:
     """Deal the set's frame by its partition; a hint for later loops that changes no result."""
     on.mesh.frames[on.name] = on.frame.join(vector.withColumnRenamed("part", "__part"), "id").repartition(parts, "__part").drop("__part")
@@ -271,18 +309,19 @@ def order_geometric(coordinates: Dat) -> DataFrame:
 
 def order_levels(m: MeshMap, most: int = 10_000) -> DataFrame:
     """(id, new) by breadth-first levels of the adjacency from the smallest id of each part, then by the least neighbour's level, degree and id."""
-    edges = adjacency(m).checkpoint() if m.source.frame.sparkSession.sparkContext.getCheckpointDir() else adjacency(m).cache()
+    edges = cut(adjacency(m))
     level = m.target.frame.select("id", F.when(F.col("id") == 0, F.lit(0)).alias("level"))
     for k in range(most):
         near = edges.join(level.where(F.col("level") == k).select(F.col("id").alias("b")), "b").select(F.col("a").alias("id")).distinct().withColumn("__near", F.lit(True))
         level = level.join(near, "id", "left").select("id", F.coalesce("level", F.when(F.col("__near"), F.lit(k + 1))).alias("level"))
-        if level.sparkSession.sparkContext.getCheckpointDir():
-            level = level.checkpoint()
+        level = cut(level)
         count = level.agg(F.sum((F.col("level") == k + 1).cast("int")).alias("new"), F.min(F.when(F.col("level").isNull(), F.col("id"))).alias("left")).first()
         if not count["new"]:
             if count["left"] is None:
                 break
             level = level.withColumn("level", F.when(F.col("id") == count["left"], F.lit(k + 1)).otherwise(F.col("level")))
+    else:
+        raise MeshError(f"{most} levels don't reach every element")
     return ranked(level.join(degree(m), "id"), ["level", "degree", "id"])
 
 
@@ -290,8 +329,7 @@ def ranked(frame: DataFrame, keys: list[str]) -> DataFrame:
     """(id, new): places 0 .. n-1 in order of the keys, by ranges sorted each for itself and their running counts."""
     dealt = frame.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id())
     dealt = dealt.select("id", F.shiftright("__place", 33).alias("__task"), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
-    if frame.sparkSession.sparkContext.getCheckpointDir():
-        dealt = dealt.checkpoint()
+    dealt = cut(dealt)
     before, run = [], 0
     for r in dealt.groupBy("__task").agg(F.count("*").alias("n")).orderBy("__task").collect():  # a row for each task
         before += [F.lit(r["__task"]), F.lit(run)]

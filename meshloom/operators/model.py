@@ -7,6 +7,8 @@ Frames are immutable; a loop that writes makes a new version of a frame.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -36,6 +38,25 @@ def spark_type(name: str) -> str:
     return TYPES[name]
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names; one of this machine only where the master is this process."""
+    sc = spark.sparkContext
+    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not there:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise MeshError("spark.checkpoint.dir must name a folder that driver and executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="meshloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(there)
+    return there.rstrip("/")
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame, written to the shared checkpoint folder, without its lineage."""
+    shared_dir(frame.sparkSession)
+    return frame.checkpoint(eager=True)
+
+
 @dataclass(eq=False)
 class MeshSet:
     mesh: Mesh
@@ -106,6 +127,7 @@ class Mesh:
     maps: dict[str, MeshMap] = field(default_factory=dict)
     dats: dict[tuple[str, str], Dat] = field(default_factory=dict)
     consts: dict[str, Const] = field(default_factory=dict)
+    partitions: dict[str, DataFrame] = field(default_factory=dict)
     profiler: Any = None
 
     def __post_init__(self):
@@ -306,6 +328,12 @@ class Mesh:
             f = f.where(F.col("id").between(lo, hi))
         return f.orderBy("id")
 
+    def show(self, dat: Dat, most: int = 100) -> None:
+        """Print the first elements of a dat, in order."""
+        print(f"{dat.name} on {dat.set.name}: {dat.set.size} elements of {dat.dim}")
+        for row in self.fetch(dat).limit(most).collect():
+            print(row[0], *row[1:])
+
     def write_index(self, dat: Dat) -> None:
         """Each element's index, counted from 1."""
         self.frames[dat.set.name] = dat.set.frame.withColumns({c: (F.col("id") + 1).cast(spark_type(dat.type)) for c in dat.columns})
@@ -313,13 +341,8 @@ class Mesh:
 
     def checkpoint(self, *sets: MeshSet) -> None:
         """Cut the lineage of the sets' frames in the shared checkpoint folder."""
-        sc = self.spark.sparkContext
-        if not (self.spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-            import tempfile
-
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshloom-"))
         for s in sets or tuple(self.sets.values()):
-            self.frames[s.name] = s.frame.checkpoint(eager=True)
+            self.frames[s.name] = cut(s.frame)
 
     def par_loop(self, kernel, name: str, on: MeshSet, *args, **options):
         from meshloom.operators.planner import par_loop

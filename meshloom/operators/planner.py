@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.operators.args import INC, MAX, MIN, READ, RW, WORK, WRITE, DatArg, GlobalArg, IndexArg, InfoArg
-from meshloom.operators.model import NUMERIC, Mesh, MeshError, MeshSet, spark_type
+from meshloom.operators.model import NUMERIC, Mesh, MeshError, MeshSet, cut, spark_type
 
 
 @dataclass
@@ -72,7 +72,7 @@ def _check(mesh: Mesh, on: MeshSet, args) -> None:
         elif isinstance(a, GlobalArg) and a.on:
             if a.access is RW:
                 raise MeshError(f"argument {k}: a global read and written depends on the order of elements")
-            if a.access in (INC, MIN, MAX) and spark_type(a.type) not in NUMERIC:
+            if a.access in (INC, MIN, MAX) and spark_type(a.type) not in (NUMERIC if a.access is INC else (*NUMERIC, "boolean")):
                 raise MeshError(f"argument {k}: {a.type} can't be reduced")
         elif isinstance(a, InfoArg):
             if not 0 <= a.ref < len(args) or not isinstance(args[a.ref], GlobalArg) or args[a.ref].access not in (MIN, MAX):
@@ -90,7 +90,11 @@ def _listed(value) -> list[Column]:
 
 
 def _gathered(mesh: Mesh, base: DataFrame, args) -> tuple[DataFrame, dict]:
-    """The frame joined once for each slot that is read; where each (map, slot, dat) is found."""
+    """The frame joined once for each slot that is read; where each (map, slot, dat) is found.
+
+    An entry that leads to no element stops the loop with the map's name when
+    its value is asked for; no row goes for it.
+    """
     wanted: dict[tuple[str, int], dict[str, list[str]]] = {}
     for a in args:
         if isinstance(a, DatArg) and a.on and a.map is not None and a.access in (READ, RW):
@@ -101,8 +105,10 @@ def _gathered(mesh: Mesh, base: DataFrame, args) -> tuple[DataFrame, dict]:
         m = mesh.maps[name]
         columns = sorted({c for own in dats.values() for c in own})
         side = m.target.frame.select(F.col("id").alias(f"__g{k}"), *[F.col(c).alias(f"__g{k}__{c}") for c in columns])
-        base = base.join(side, F.col(m.columns[slot]) == F.col(f"__g{k}")).drop(f"__g{k}")
-        found |= {(name, slot, d): [F.col(f"__g{k}__{c}") for c in own] for d, own in dats.items()}
+        entry = F.col(m.columns[slot])
+        base = base.join(side, entry == F.col(f"__g{k}"), "left")
+        bad = F.raise_error(F.concat(F.lit(f"map {name}, slot {slot}, leads to no element of {m.target.name}: "), F.coalesce(entry.cast("string"), F.lit("null"))))
+        found |= {(name, slot, d): [F.when(F.col(f"__g{k}").isNull(), bad).otherwise(F.col(f"__g{k}__{c}")) for c in own] for d, own in dats.items()}
     return base, found
 
 
@@ -136,7 +142,9 @@ def _reduction(k: int, a: GlobalArg, values: list[str], has_id: bool) -> list[Co
     for j, (c, start) in enumerate(zip(values, a.values, strict=True)):
         v, first = F.col(c), F.lit(start)
         number = F.when(~F.isnan(v), v) if a.access in (MIN, MAX) and kind in ("double", "float") else v
-        if a.access is INC:
+        if kind == "boolean" and a.access in (MIN, MAX):  # whether all are, or any is
+            new = first & F.coalesce(F.bool_and(v), F.lit(True)) if a.access is MIN else first | F.coalesce(F.bool_or(v), F.lit(False))
+        elif a.access is INC:
             new = F.coalesce(F.sum(v).cast(kind), F.lit(0).cast(kind)) + first.cast(kind)
         elif a.access is MIN:
             new = F.least(first.cast(kind), F.min(number).cast(kind))
@@ -187,7 +195,7 @@ def par_loop(mesh: Mesh, kernel: Callable, name: str, on: MeshSet, *args, checkp
             columns |= {c: v for own, g in zip(outputs[k], groups, strict=True) for c, v in zip(own, g, strict=True)}
         applied = base.withColumns(columns) if columns else base
         if checkpoint:
-            applied = applied.checkpoint(eager=True)
+            applied = cut(applied)
         _scatter(mesh, on, args, outputs, applied)
         reductions: list = []
         for k in due:
@@ -261,6 +269,12 @@ def _apply(mesh: Mesh, target: str, shares, applied: DataFrame) -> None:
     mesh.frames[target] = merged.withColumns(new).drop("__to", *[f"s__{c}" for c in sums], *[f"w__{d}" for d in written])
 
 
+def classify(*args) -> str:
+    """``direct`` where no argument goes through a map, ``indirect`` where one reads, ``scatter`` where one is written or incremented."""
+    through = [a for a in args if isinstance(a, DatArg) and a.on and a.map is not None]
+    return "scatter" if any(a.access is not READ for a in through) else "indirect" if through else "direct"
+
+
 def conflicts(on: MeshSet, arg: DatArg) -> DataFrame:
     """Targets that several elements of ``on`` would write through the argument's slots."""
     to = on.frame.select(F.explode(F.array(*[arg.map.columns[s] for s in arg.slots])).alias("id"))

@@ -335,9 +335,9 @@ def q30_indirect_rw(spark, sf_dir):
 
 
 @_query(
-    """WITH n AS (SELECT count(*) AS n FROM customer), r0 AS (SELECT c_custkey AS id, CAST(0 AS DOUBLE) AS u, c_acctbal AS r FROM customer),
-    r1 AS (SELECT a.id, a.u + 0.25 * b.u + 0.25 * c.u + a.r - a.u AS u, a.r FROM r0 a JOIN r0 b ON b.id = (a.id + 1) % (SELECT n FROM n) JOIN r0 c ON c.id = (a.id + (SELECT n FROM n) - 1) % (SELECT n FROM n)),
-    r2 AS (SELECT a.id, a.u + 0.25 * b.u + 0.25 * c.u + a.r - a.u AS u FROM r1 a JOIN r1 b ON b.id = (a.id + 1) % (SELECT n FROM n) JOIN r1 c ON c.id = (a.id + (SELECT n FROM n) - 1) % (SELECT n FROM n))
+    """WITH r0 AS (SELECT c_custkey AS id, (c_custkey + 1) % n AS after, (c_custkey + n - 1) % n AS before, CAST(0 AS DOUBLE) AS u, c_acctbal AS r FROM customer, (SELECT count(*) AS n FROM customer)),
+    r1 AS (SELECT a.id, a.after, a.before, a.u + 0.25 * b.u + 0.25 * c.u + a.r - a.u AS u, a.r FROM r0 a JOIN r0 b ON b.id = a.after JOIN r0 c ON c.id = a.before),
+    r2 AS (SELECT a.id, a.u + 0.25 * b.u + 0.25 * c.u + a.r - a.u AS u FROM r1 a JOIN r1 b ON b.id = a.after JOIN r1 c ON c.id = a.before)
     SELECT id, round(u, 6) AS u FROM r2"""
 )
 def q31_jacobi2(spark, sf_dir):
@@ -610,3 +610,6 @@ def q73_part_inertial(spark, sf_dir):
     mesh, part, _ = _part(spark, sf_dir)
     place = mesh.decl_dat(part, 3, "double", lambda i: [F.col("p_size"), F.col("p_retailprice"), i % 7], "place")
     return graph.part_inertial(place, 4)
+
+
+from meshloom.plans import interfaces  # noqa: E402, F401  registers its queries here

@@ -80,7 +80,12 @@ def read_dat(mesh: Mesh, on: MeshSet, dim: int, type_: str, name: str, table: st
     return mesh.decl_dat(on, dim, type_, data, name)
 
 
-def write_dat(dat: Dat, path: str) -> None:
+def write_dat(dat: Dat, path: str, check: bool = False) -> None:
+    """Write a dat; with ``check`` a table that is there must have its rows and components."""
+    if check:
+        there = dataset_properties(dat.set.mesh.spark, path)
+        if (there["size"], there["dim"]) != (dat.set.size, dat.dim):
+            raise MeshError(f"{path} has {there['size']} rows of {there['dim']}; {dat.name} has {dat.set.size} of {dat.dim}")
     dat.set.frame.select("id", *dat.columns).write.mode("overwrite").parquet(path)
 
 

@@ -337,3 +337,21 @@ def test_profile(spark, tmp_path):
     mesh.profiler.write_csv(tmp_path / "p.csv")
     assert (tmp_path / "p.csv").read_text().splitlines()[0].endswith("kernel name")
     assert "read" in mesh.profiler.table() and mesh.profiler.frame(spark).count() == 1
+
+
+def test_a_bad_map_entry_stops_the_loop(spark):
+    mesh = Mesh(spark)
+    a, b = mesh.decl_set(5, "a"), mesh.decl_set(3, "b")
+    m = mesh.decl_map(a, b, 1, [0, 1, 2, 7, 0], "to")
+    x, y = mesh.decl_dat(b, 1, "double", [1.0, 2.0, 3.0], "x"), mesh.decl_dat(a, 1, "double", None, "y")
+    mesh.par_loop(lambda v: {1: v}, "read", a, arg_dat(x, 0, m), arg_dat(y, access=WRITE))
+    with pytest.raises(Exception, match="map to, slot 0"):
+        mesh.fetch(y).collect()
+    assert a.frame.select("id").count() == 5
+
+
+def test_show_prints_the_first_elements(spark, capsys):
+    mesh = Mesh(spark)
+    a = mesh.decl_set(4, "a")
+    mesh.show(mesh.decl_dat(a, 2, "int", [0, 1, 2, 3, 4, 5, 6, 7], "x"), most=2)
+    assert capsys.readouterr().out.split("\n") == ["x on a: 4 elements of 2", "0 0 1", "1 2 3", ""]
