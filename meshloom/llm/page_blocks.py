@@ -19,7 +19,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 #: An open element beyond which nothing is closed by the start of another.
 FENCES = frozenset("ul ol dl table article section div aside main nav header footer form body td th blockquote".split())
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.DOTALL)
+#: A comment, a tag, a tag with a quote that nothing closes, a declaration; one that the page's end cuts off counts as well.
+_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</?\Z", re.DOTALL)
 #: One attribute after another, a name and its value or none, so that a value is never read as a name.
 _ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?|\"[^\"]*\"|'[^']*'")
 _NAMED = frozenset(("class", "id", "role"))
@@ -54,10 +55,12 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...], bool]] = []  # name, words, hidden
     held: list[str] = []
     linked = at = links = unseen = 0
+    begun = False  # whether the block has a character yet: its path is that of the first
     path: tuple = ()
 
     def flush():
-        nonlocal linked
+        nonlocal linked, begun
+        begun = False
         if held:
             text = " ".join(unescape("".join(held)).split())
             if text:
@@ -79,19 +82,19 @@ def blocks(html: str) -> list[Block]:
         m = _PIECE.search(html, at)
         text = html[at : m.start() if m else n]
         if text and not unseen:
-            if not held:
-                path = trace()
+            if not begun and not text.isspace():
+                path, begun = trace(), True
             held.append(text)
             if links:
                 linked += len(text.strip())
         if not m:
             break
         at = m.end()
-        name = m.group(2)
+        closing, name, attributes = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
         if name is None:
             continue
         name = name.lower()
-        if m.group(1):
+        if closing:
             if name == "br":
                 held.append(" ")
                 continue
@@ -105,7 +108,7 @@ def blocks(html: str) -> list[Block]:
                     pop()
             continue
         if name in SILENT:
-            if name in ("script", "style", "textarea", "title", "noscript", "template", "svg", "math", "select", "object", "video", "audio", "canvas", "iframe"):
+            if name in ("script", "style", "textarea", "title", "noscript", "template", "svg", "math", "select", "datalist", "object", "video", "audio", "canvas", "iframe"):
                 end = re.compile(f"</{name}\\s*>", re.IGNORECASE).search(html, at)
                 at = end.end() if end else n if name in ("script", "style", "textarea", "title") else at
             continue
@@ -115,7 +118,7 @@ def blocks(html: str) -> list[Block]:
             elif name == "hr":
                 flush()
             continue
-        if m.group(3).endswith("/"):
+        if attributes.endswith("/"):
             continue
         if name not in INLINE:
             flush()
@@ -127,7 +130,7 @@ def blocks(html: str) -> list[Block]:
                         pop()
                     break
                 k -= 1
-        words, hidden = _names(m.group(3)) if m.group(3) else ((), False)
+        words, hidden = _names(attributes) if attributes else ((), False)
         stack.append((name, words, hidden))
         links += name == "a"
         unseen += hidden

@@ -657,6 +657,34 @@ def test_html_text(spark):
     assert len(got) == 6
 
 
+SAID = " Some words of a longer paragraph that says something of the matter, at length, and then ends."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<article><h1>T here</h1><p>one" + SAID + "</p", ["T here", "one" + SAID]),
+        ("<article><p>one" + SAID + "<a href='x", ["one" + SAID]),
+        ("<article><p>one" + SAID + '<a title="x>two</a> more', ["one" + SAID + "two more"]),
+        ("<article><p>one" + SAID + "<!-- rest", ["one" + SAID]),
+        ("<article><p>Text." + SAID + "</p><datalist id=x><option value=a>Alpha<option>Beta</datalist></article>", ["Text." + SAID]),
+        ("<nav class=menu><a href=/a>Home</a> <a href=/b>News</a></nav><div class=article><br>First." + SAID * 2 + "<br><br>Second." + SAID * 2 + "</div><div class=footer>Copyright all rights reserved</div>", ["First." + SAID * 2 + " Second." + SAID * 2]),
+        ("<div id=nav><a href=/a>Home</a> <a href=/b>News</a></div><div>First." + SAID * 2 + "<br><br>Second." + SAID * 2 + "</div><div class=footer>Copyright all rights reserved</div>", ["First." + SAID * 2 + " Second." + SAID * 2]),
+        ("<table><tr><td><a href=/a>Home</a><br><a href=/b>News</a></td><td><h1>The title of it</h1><p>First." + SAID * 2 + "</p><p>Second." + SAID + "</p></td></tr><tr><td>Copyright all rights reserved</td></tr></table>", ["The title of it", "First." + SAID * 2, "Second." + SAID]),
+        ('<header id="masthead"><a href=/>Site</a></header><main id="main"><article class="post"><h1 class="entry-title">The title</h1><div class="entry-content"><p>First.' + SAID * 2 + "</p><p>Second." + SAID * 2 + '</p></div></article><div id="comments" class="comments-area"><h2 class="comments-title">2 thoughts on The title</h2><ol class="comment-list"><li class="comment"><div class="comment-author">Ann says:</div><div class="comment-content"><p>I liked this.' + SAID + "</p></div></li></ol></div></main>", ["The title", "First." + SAID * 2, "Second." + SAID * 2]),
+        ("<div class=contenido><h1>El título</h1><p>Primero." + SAID * 2 + "</p><p>Luego." + SAID * 2 + "</p></div><div class=comentarios><h3>Comentarios</h3><p>Me gusta mucho esto." + SAID + "</p></div>", ["El título", "Primero." + SAID * 2, "Luego." + SAID * 2]),
+    ],
+)
+def test_main_text_of_pages_labelled_by_hand(html, want):
+    assert html_text.main_texts(html_text.trained(), [f"<html><body>{html}"]) == [" ".join(" ".join(want).split())]
+
+
+def test_a_page_of_very_many_blocks_is_read_whole():
+    html = "<html><body><article>" + "".join(f"<p>Paragraph {k}.{SAID}</p>" for k in range(20_000)) + "</article></body></html>"
+    text = html_text.main_texts(html_text.trained(), [html])[0]
+    assert text.count("Paragraph") > 19_900
+
+
 # Empty tables -----------------------------------------------------------------------
 
 
@@ -668,3 +696,4 @@ def test_empty_tables(spark):
         personal_data.personal_data(docs), fingerprints.fingerprints(docs), piece_matching.round_trip(docs), language_id.identify(docs, None),
     ):
         assert made.count() == 0
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
