@@ -7,14 +7,19 @@ earlier: in a smaller id, or before in the same document.
    least ``GRAM``-byte key, which equal windows share. An anchor's context is
    the union of its windows. Scan tasks collapse equal contexts, then rows are
    dealt by the anchor's key: of equal contexts all but the first are removed.
+   A key with ``MANY`` contexts or more in one scan task is dealt by context
+   from there, and a marker tells the key's own task that it has several; so
+   a task gets fewer than ``MANY`` rows of a key from each scan task.
 2. Keys with several contexts are contested. Their contexts are read from the
    texts and dealt by key. The bytes at which contexts of a key part, to the
    left and right of the anchor, cut them into blocks; inside a block contexts
    agree on all bytes or differ at once, so blocks are the symbols of a text
    for which ``gsaca.suffix_array`` is built, many keys at a time. A window is
    a run of blocks; suffixes that share that run have the same window, and
-   all but the first lose it. A key with over ``HOT`` contexts is dealt window
-   by window instead, and takes the same way.
+   all but the first lose it. A key with over ``HOT`` contexts is taken window
+   by window instead: tasks that read the texts collapse equal windows (by 128
+   bits of hash), the rest are dealt by window, and all but the first go; no
+   task holds a key's rows together.
 3. A document's removed spans are united and its remaining bytes digested.
 
 Defined results: a null text is empty; texts below ``WINDOW`` bytes keep all.
@@ -25,10 +30,10 @@ the spans found under that id. Extra columns go; an empty table gives none.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +43,20 @@ from meshloom.llm.shingles import mix, span_hashes, texts_of
 
 WINDOW, GRAM = 100, 24
 SPAN = WINDOW - GRAM + 1
-HOT = 20_000
+#: Contexts that one suffix array takes of a key; contexts of a key in one scan task from which they are dealt one by one.
+HOT, MANY = 2_000, 16
 #: Anchors that a scan task collapses at a time; symbols of one suffix array; bytes hashed at a time.
 COLLAPSE, SYMBOLS, CHUNK = 1 << 20, 1 << 16, 1 << 16
 NULL_ID = -(1 << 63)
 _BYTE = np.random.default_rng(100).integers(0, 2**64, 256, dtype=np.uint64)
 _LOW = np.uint64((1 << 20) - 1)
-ROW = "gh long, xh long, id long, a int, b int, c int"
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+#: Bytes drawn in another order, for a second hash.
+_OTHER = np.random.default_rng(101).permutation(256).astype(np.uint8)
+#: c is -1 in spans that go and MARKER in markers; s deals a key's contexts.
+ROW = "gh long, xh long, id long, a int, b int, c int, s int"
+CONTEXT = "gh long, xh long, id long, a int, b int, c int, context binary"
+MARKER = -2
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
 
 def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -92,8 +103,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     return doc[whole[first]], a[first], key[whole[first]], whole[first], whole[last]
 
 
-def _batch(*columns):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=["gh", "xh", "id", "a", "b", "c"])
+def _batch(gh, xh, ids, a, b, c, s=None):
+    s = np.zeros(len(gh), np.int32) if s is None else s
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((gh, xh, ids, a, b, c, s), _TYPES, strict=True)], names=["gh", "xh", "id", "a", "b", "c", "s"])
 
 
 def _removal(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -112,23 +124,39 @@ def _removal(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return _batch(mix(ids.astype(np.uint64)).view(np.int64), np.zeros(len(ids), np.int64), ids, s[first].astype(np.int32), reach[last].astype(np.int32), np.full(len(ids), -1, np.int32))
 
 
-def _scan(batches):
-    """(id, text) to one row for each distinct context of the task and spans of its later copies."""
+def _later(gh, xh, ids, a):
+    """Of rows in order of key, hash, id and place: which are the first of their key and hash, and which another place than the first's."""
+    new = np.ones(len(gh), bool)
+    new[1:] = (gh[1:] != gh[:-1]) | (xh[1:] != xh[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return new, ~new & ((ids != ids[first]) | (a != a[first]))
+
+
+def _collapsed(held: list[tuple]):
+    """The distinct contexts of held columns in order, and spans of their later copies."""
+    gh, xh, ids, a, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((a, ids, xh, gh))
+    gh, xh, ids, a, b, c = (x[order] for x in (gh, xh, ids, a, b, c))
+    new, later = _later(gh, xh, ids, a)
+    return [x[new] for x in (gh, xh, ids, a, b, c)], _removal(ids[later], (a - c)[later], (a - b + WINDOW)[later])
+
+
+def _scan(batches, many: int):
+    """(id, text) to one row for each distinct context of the task, spans of its later copies, and markers of keys with ``many``."""
     held: list[tuple] = []
     size = 0
 
     def flush():
-        gh, xh, ids, a, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        kept, spans = _collapsed(held)
         held.clear()
-        order = np.lexsort((a, ids, xh, gh))
-        gh, xh, ids, a, b, c = (x[order] for x in (gh, xh, ids, a, b, c))
-        new = np.ones(len(gh), bool)
-        new[1:] = (gh[1:] != gh[:-1]) | (xh[1:] != xh[:-1])
-        yield _batch(*(x[new] for x in (gh, xh, ids, a, b, c)))
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = ~new & ((ids != ids[first]) | (a != a[first]))
-        if later.any():
-            yield _removal(ids[later], (a - c)[later], (a - b + WINDOW)[later])
+        gh, xh = kept[:2]
+        first = np.flatnonzero(np.concatenate([[True], gh[1:] != gh[:-1]]))
+        count = np.diff(np.append(first, len(gh)))
+        yield _batch(*kept, np.where(np.repeat(count, count) >= many, (xh >> 1 & 0x3FFFFFFF) + 1, 0).astype(np.int32))
+        marked = gh[first[count >= many]]
+        none = np.zeros(len(marked), np.int64)
+        yield _batch(marked, none, none, none.astype(np.int32), none.astype(np.int32), np.full(len(marked), MARKER, np.int32))
+        yield spans
 
     for batch in batches:
         for lo in range(0, len(batch), 500):
@@ -138,7 +166,7 @@ def _scan(batches):
             doc, at, key, w0, w1 = anchors(data, offsets)
             if len(doc):
                 a, c, b = at - offsets[doc], at - w0, at - w1
-                xh = mix(span_hashes(data, w0, w1 + WINDOW) + (b * 1000 + c).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                xh = mix(span_hashes(data, w0, w1 + WINDOW) + (b * 1000 + c).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)  # a marker's is 0
                 held.append((key.view(np.int64), xh.view(np.int64), ids[doc], a.astype(np.int32), b.astype(np.int32), c.astype(np.int32)))
                 size += len(doc)
             if size > COLLAPSE:
@@ -158,34 +186,31 @@ def _contested(batches):
     def columns(batch):
         return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
-    def emit(gh, xh, ids, a, b, c, close):
+    def emit(gh, xh, ids, a, b, c, s, close):
         nonlocal carry, several
-        new = np.ones(len(gh), bool)
-        new[1:] = (gh[1:] != gh[:-1]) | (xh[1:] != xh[:-1])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = ~new & ((ids != ids[first]) | (a != a[first]))
+        new, later = _later(gh, xh, ids, a)
         spans = _removal(ids[later], (a - c)[later], (a - b + WINDOW)[later])
-        gh, xh, ids, a, b, c = (x[new] for x in (gh, xh, ids, a, b, c))
+        gh, xh, ids, a, b, c, s = (x[new] for x in (gh, xh, ids, a, b, c, s))
         group = np.cumsum(np.concatenate([[True], gh[1:] != gh[:-1]])) - 1
         count = np.bincount(group)
         count[0] += several
-        out = count[group] > 1
+        out = ((count[group] > 1) | (s > 0)) & (c >= 0)
         several = bool(count[-1] > 1)
-        carry = None if close else [x[-1:] for x in (gh, xh, ids, a, b, c)]
+        carry = None if close else [x[-1:] for x in (gh, xh, ids, a, b, c, s)]
         if not close:
             out[-1] = False
         yield from (spans, _batch(*(x[out] for x in (gh, xh, ids, a, b, c))))
 
     for batch in batches:
         cols = columns(batch)
-        span = cols[5] < 0
+        span = cols[5] == -1
         if span.any():
             yield _batch(*(x[span] for x in cols))
             cols = [x[~span] for x in cols]
         if not len(cols[0]):
             continue
         if carry is not None:
-            if carry[0][0] != cols[0][0] and not several:
+            if carry[0][0] != cols[0][0] and not several and not carry[6][0]:
                 carry = None
             else:
                 cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
@@ -198,32 +223,63 @@ def _contested(batches):
         yield from emit(*carry, True)
 
 
+def _windows(data, offsets, ids, doc, rows):
+    """Columns as a scan's, a context for each window of anchors (key, place, least and most left) of texts."""
+    gh, a, b, c = rows
+    count = c - b + 1
+    own = np.repeat(np.arange(len(a)), count)
+    left = b[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    doc, start = doc[own], offsets[doc[own]] + a[own] - left
+    inside = np.flatnonzero(start + WINDOW <= offsets[doc + 1])  # others are of another row of this id
+    inside = inside[np.argsort(start[inside], kind="stable")]
+    own, left, doc, start = own[inside], left[inside], doc[inside], start[inside]
+    one, two = span_hashes(data, start, start + WINDOW), span_hashes(_OTHER[data], start, start + WINDOW)
+    salt = gh[own].view(np.uint64) + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    left = left.astype(np.int32)
+    return one.view(np.int64), mix(two + salt).view(np.int64), ids[doc], a[own].astype(np.int32), left, left
+
+
 def _contexts(batches):
-    """(id, text, hot, anchors) to (key, id, place, least and most left, bytes)."""
+    """(id, text, anchors) to rows CONTEXT: the contexts of anchors, or of hot ones the distinct windows and spans of later copies."""
+    held: list[tuple] = []
+    size = 0
+
+    def flush():
+        kept, spans = _collapsed(held)
+        held.clear()
+        for x in (kept, [spans.column(k) for k in range(6)]):
+            yield _context_batch([*x, pa.nulls(len(x[0]), pa.binary())])
+
     for batch in batches:
-        lists = batch.column(2)
-        rows = lists.flatten()
-        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        gh, a, b, c, hot = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-        out: list[list] = [[] for _ in range(6)]
-        for k, (i, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)):
-            own = slice(cuts[k], cuts[k + 1])
-            for g, p, x, y, h in zip(gh[own].tolist(), a[own].tolist(), b[own].tolist(), c[own].tolist(), hot[own].tolist(), strict=True):
-                if p - x + WINDOW > len(text):
-                    continue  # the place is another row's of this id
-                for least, most in ((left, left) for left in range(x, y + 1)) if h else ((x, y),):
-                    context = text[p - most : p - least + WINDOW]
-                    key = xxhash.xxh3_64_intdigest(context, seed=least) - (1 << 63) if h else g
-                    for col, v in zip(out, (key, i, p, least, most, context), strict=True):
-                        col.append(v)
-            if len(out[0]) > 20_000:
-                yield _context_batch(out)
-                out = [[] for _ in range(6)]
-        yield _context_batch(out)
+        for lo in range(0, len(batch), 500):
+            part = batch.slice(lo, 500)
+            lists = part.column(2)
+            rows = lists.flatten()
+            per = np.diff(lists.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(part)), per)
+            gh, a, b, c, hot = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = texts_of(part.column(1))
+            if hot.any():
+                docs, wide = doc[hot], [x[hot].astype(np.int64) for x in (gh, a, b, c)]
+                for at in range(0, len(docs), CHUNK // SPAN):
+                    own = slice(at, at + CHUNK // SPAN)
+                    held.append(_windows(data, offsets, ids, docs[own], [x[own] for x in wide]))
+                    size += len(held[-1][0])
+                    if size > COLLAPSE:
+                        yield from flush()
+                        size = 0
+            lefts, ends = offsets[doc] + a - c, offsets[doc] + a - b + WINDOW
+            plain = np.flatnonzero(~hot & (ends <= offsets[doc + 1]))
+            whole = data.tobytes()
+            context = [whole[x:y] for x, y in zip(lefts[plain].tolist(), ends[plain].tolist(), strict=True)]
+            yield _context_batch([gh[plain], np.zeros(len(plain), np.int64), ids[doc[plain]], a[plain], b[plain], c[plain], context])
+    if held:
+        yield from flush()
 
 
 def _context_batch(out):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["gh", "id", "a", "b", "c", "context"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [*_TYPES[:6], pa.binary()], strict=True)], names=["gh", "xh", "id", "a", "b", "c", "context"])
 
 
 def _lcp(x: bytes, y: bytes) -> int:
@@ -329,8 +385,8 @@ class Blocks:
 
 
 def _decide(batches):
-    """Contexts in order of key, id and place to the spans that go."""
-    key, rows, blocks = None, [], Blocks()
+    """Rows CONTEXT in order of key, hash, id and place to the spans that go; of windows only the first in hand is held."""
+    key, rows, blocks, carry = None, [], Blocks(), None
 
     def settle():
         nonlocal blocks
@@ -339,7 +395,21 @@ def _decide(batches):
             yield _removal(*got)
 
     for batch in batches:
-        for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        hot = batch.column(6).is_null().to_numpy(zero_copy_only=False)
+        if hot.any():
+            cols = [batch.column(k).to_numpy()[hot] for k in range(6)]
+            span = cols[5] < 0
+            yield _batch(*(x[span] for x in cols))
+            cols = [x[~span] for x in cols]
+            if len(cols[0]):
+                cols = cols if carry is None else [np.concatenate(x) for x in zip(carry, cols, strict=True)]
+                gh, xh, ids, a, b, c = cols
+                new, later = _later(gh, xh, ids, a)
+                yield _removal(ids[later], (a - c)[later], (a - b + WINDOW)[later])
+                last = np.flatnonzero(new)[-1]
+                carry = [x[last : last + 1] for x in cols]
+        whole = batch.filter(pa.array(~hot)) if hot.any() else batch
+        for g, *row in zip(*(whole.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6)), strict=True):
             if g != key:
                 if len(rows) > 1:
                     blocks.add(rows)
@@ -376,14 +446,14 @@ def _finish(batches):
 
 def removed_spans(texts: DataFrame) -> DataFrame:
     """(id, a, b): spans of bytes that go, of texts (id, text) without null ids."""
-    found = texts.mapInArrow(_scan, ROW).repartition("gh").sortWithinPartitions("gh", "xh", "id", "a")
+    found = texts.mapInArrow(partial(_scan, many=MANY), ROW).repartition("gh", "s").sortWithinPartitions("gh", "xh", "id", "a")
     rows = spool(found.mapInArrow(_contested, ROW), "contested")
     open_ = rows.where("c >= 0").select("gh", "id", "a", "b", "c")
     hot = open_.groupBy("gh").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gh", F.lit(True).alias("hot"))
     open_ = open_.withColumn("hot", F.lit(False)) if hot.isEmpty() else open_.join(hot, "gh", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     lists = open_.groupBy("id").agg(F.collect_list(F.struct("gh", "a", "b", "c", "hot")).alias("anchors"))
-    contexts = texts.join(lists, "id").select("id", "text", "anchors").mapInArrow(_contexts, "gh long, id long, a int, b int, c int, context binary")
-    dealt = contexts.repartition("gh").sortWithinPartitions("gh", "id", "a")
+    contexts = texts.join(lists, "id").select("id", "text", "anchors").mapInArrow(_contexts, CONTEXT)
+    dealt = contexts.repartition("gh", "xh").sortWithinPartitions("gh", "xh", "id", "a")
     decided = dealt.mapInArrow(_decide, ROW)
     return rows.where("c < 0").select("id", "a", "b").unionByName(decided.select("id", "a", "b"))
 

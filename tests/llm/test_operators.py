@@ -267,9 +267,10 @@ def plain_substrings(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_substring_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "many"), [(20_000, 16), (2, 16), (20_000, 2), (2, 2), (4, 1)])
+def test_substring_dedup(spark, monkeypatch, hot, many):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "MANY", many)
     draw = random.Random(7)
     rows = odd_rows()
     passage = "".join(draw.choice("abcdefgh ij") for _ in range(400))
