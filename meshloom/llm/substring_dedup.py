@@ -45,6 +45,8 @@ WINDOW, GRAM = 100, 24
 SPAN = WINDOW - GRAM + 1
 #: Contexts that one suffix array takes of a key; contexts of a key in one scan task from which they are dealt one by one.
 HOT, MANY = 2_000, 16
+#: Parts of a hot key's rows as they learn that it is hot.
+SALTS = 64
 #: Anchors that a scan task collapses at a time; symbols of one suffix array; bytes hashed at a time.
 COLLAPSE, SYMBOLS, CHUNK = 1 << 20, 1 << 16, 1 << 16
 NULL_ID = -(1 << 63)
@@ -450,7 +452,12 @@ def removed_spans(texts: DataFrame) -> DataFrame:
     rows = spool(found.mapInArrow(_contested, ROW), "contested")
     open_ = rows.where("c >= 0").select("gh", "id", "a", "b", "c")
     hot = open_.groupBy("gh").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gh", F.lit(True).alias("hot"))
-    open_ = open_.withColumn("hot", F.lit(False)) if hot.isEmpty() else open_.join(hot, "gh", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    if hot.isEmpty():
+        open_ = open_.withColumn("hot", F.lit(False))
+    else:
+        salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("id", "a"), F.lit(SALTS)).cast("int")
+        open_ = open_.withColumn("salt", salt).join(salted, ["gh", "salt"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     lists = open_.groupBy("id").agg(F.collect_list(F.struct("gh", "a", "b", "c", "hot")).alias("anchors"))
     contexts = texts.join(lists, "id").select("id", "text", "anchors").mapInArrow(_contexts, CONTEXT)
     dealt = contexts.repartition("gh", "xh").sortWithinPartitions("gh", "xh", "id", "a")
