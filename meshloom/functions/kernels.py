@@ -92,14 +92,19 @@ def _gradients(x: float, y: float):
     return [-(1 - y), 1 - y, y, -y], [-(1 - x), -x, x, 1 - x]
 
 
-def stiffness(corners) -> list[Column]:
-    """The 16 entries of an element's stiffness matrix, by rows."""
-    total: list = [None] * 16
+def _points(corners):
+    """For each Gauss point of an element: the derivatives (by x, by y) of its shape functions, and its determinant."""
     for x, y in _POINTS:
         gx, gy = _gradients(x, y)
         j = [[reduce(lambda p, q: p + q, [g[k] * corners[k][c] for k in range(4)]) for c in (0, 1)] for g in (gx, gy)]
         det = j[0][0] * j[1][1] - j[0][1] * j[1][0]
-        by = [((gx[k] * j[1][1] - gy[k] * j[0][1]) / det, (gy[k] * j[0][0] - gx[k] * j[1][0]) / det) for k in range(4)]
+        yield [((gx[k] * j[1][1] - gy[k] * j[0][1]) / det, (gy[k] * j[0][0] - gx[k] * j[1][0]) / det) for k in range(4)], det
+
+
+def stiffness(corners) -> list[Column]:
+    """The 16 entries of an element's stiffness matrix, by rows."""
+    total: list = [None] * 16
+    for by, det in _points(corners):
         for a in range(4):
             for b in range(4):
                 one = (by[a][0] * by[b][0] + by[a][1] * by[b][1]) * F.abs(det) * 0.25
@@ -107,6 +112,41 @@ def stiffness(corners) -> list[Column]:
     return total
 
 
+class Potential:
+    """Compressible potential flow on bilinear elements, by what is known at the Gauss points of an element.
+
+    A state's columns go point by point, so that each loop's expressions stay
+    small: 8 derivatives, then (velocity x, y), then the density.
+    """
+
+    def __init__(self, mach: float = 0.1, gam: float = 1.4):
+        self.mach, self.gm1 = mach, gam - 1.0
+
+    def geometry(self, corners):
+        """32 derivatives and 4 weights; the mesh stands still, so that they are made once."""
+        found = list(_points(corners))
+        return [d for by, _ in found for pair in by for d in pair], [F.abs(det) * 0.25 for _, det in found]
+
+    def velocity(self, by, phi):
+        return [dot([by[8 * g + 2 * k + c] for k in range(4)], phi) for g in range(4) for c in (0, 1)]
+
+    def density(self, v):
+        """By Bernoulli's law, and what it loses for a change of the squared speed: density over the law's base."""
+        base = [1.0 + 0.5 * self.gm1 * (self.mach**2 - (v[2 * g] * v[2 * g] + v[2 * g + 1] * v[2 * g + 1])) for g in range(4)]
+        return [F.pow(b, F.lit(1.0 / self.gm1)) for b in base], [F.pow(b, F.lit(1.0 / self.gm1 - 1.0)) for b in base]
+
+    def element(self, by, weight, v, rho, drop):
+        """The element's matrix of the linearised flux, 16 entries by rows, and its nodes' shares of the flux's balance."""
+        along = [[v[2 * g] * by[8 * g + 2 * k] + v[2 * g + 1] * by[8 * g + 2 * k + 1] for k in range(4)] for g in range(4)]
+        flux = [reduce(lambda p, q: p + q, [weight[g] * rho[g] * along[g][k] for g in range(4)]) for k in range(4)]
+
+        def entry(a, b):
+            parts = [weight[g] * (rho[g] * (by[8 * g + 2 * a] * by[8 * g + 2 * b] + by[8 * g + 2 * a + 1] * by[8 * g + 2 * b + 1]) - drop[g] * along[g][a] * along[g][b]) for g in range(4)]
+            return reduce(lambda p, q: p + q, parts)
+
+        return [entry(a, b) for a in range(4) for b in range(4)], flux
+
+
 def element_product(k, p) -> list[Column]:
     """A symmetric element matrix times the values at its nodes; only the upper triangle is read."""
     at = lambda a, b: k[4 * min(a, b) + max(a, b)]

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshloom.operators.model import Dat, Mesh, MeshError, MeshMap, MeshSet, cut
+from meshloom.operators.model import Dat, Mesh, MeshError, MeshMap, MeshSet, cut, pinned
 
 
 def _slots(m: MeshMap) -> DataFrame:
@@ -329,7 +329,7 @@ def ranked(frame: DataFrame, keys: list[str]) -> DataFrame:
     """(id, new): places 0 .. n-1 in order of the keys, by ranges sorted each for itself and their running counts."""
     dealt = frame.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id())
     dealt = dealt.select("id", F.shiftright("__place", 33).alias("__task"), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
-    dealt = cut(dealt)
+    dealt = pinned(dealt)
     before, run = [], 0
     for r in dealt.groupBy("__task").agg(F.count("*").alias("n")).orderBy("__task").collect():  # a row for each task
         before += [F.lit(r["__task"]), F.lit(run)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -52,7 +53,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, written to the shared checkpoint folder, without its lineage."""
+    """The frame, written as a table to the shared folder and read again, without its lineage.
+
+    A checkpoint would keep the optimizer's estimate of the size, which is a
+    product over joins: from one time step to the next its digits multiply,
+    until planning does nothing else. A table has its true size, and later
+    loops read only the columns they need.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/meshloom-cut/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def pinned(frame: DataFrame) -> DataFrame:
+    """The frame by a checkpoint, for jobs that need the same rows in the same partitions again."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
 

@@ -61,7 +61,7 @@ def channel(spark: SparkSession, ni: int = 20, nj: int = 10, height: float = 0.1
     cell to the first. Flags: 1 is a wall, 2 the far field.
     """
     mesh, n1 = Mesh(spark), ni + 1
-    nodes, cells = mesh.decl_set(n1 * (nj + 1), "nodes"), mesh.decl_set(ni * nj, "cells")
+    nodes = mesh.decl_set(n1 * (nj + 1), "nodes")
 
     def place(i):
         x = (i % n1) / F.lit(float(ni)) * 3.0 - 1.0
@@ -70,34 +70,47 @@ def channel(spark: SparkSession, ni: int = 20, nj: int = 10, height: float = 0.1
         return [x, low + (1.0 - low) * eta]
 
     mesh.decl_dat(nodes, 2, "double", place, "x")
+    return _volumes(mesh, ni, nj, 0, 1)
+
+
+def _volumes(mesh: Mesh, ni: int, nj: int, cut: int, top: int) -> Mesh:
+    """Cells, faces and flags over a grid of nodes.
+
+    The first ``cut`` faces of the lowest row lie on the last ones in turned
+    order, so that they join cells; ``top`` is the flag of the highest row.
+    """
+    nodes, n1 = mesh.sets["nodes"], ni + 1
+    cells = mesh.decl_set(ni * nj, "cells")
     corner = lambda c: (c % ni) + _div(c, ni) * n1
     mesh.decl_map(cells, nodes, 4, lambda c: [corner(c), corner(c) + 1, corner(c) + 1 + n1, corner(c) + n1], "cell_nodes")
     up, along = (ni - 1) * nj, ni * (nj - 1)
-    edges = mesh.decl_set(up + along, "edges")
+    edges = mesh.decl_set(up + along + cut, "edges")
 
     def edge(e):
         i, j = e % max(1, ni - 1) + 1, _div(e, max(1, ni - 1))
         f = e - up
-        k, m = f % ni, _div(f, ni) + 1
+        joined = f >= along
+        k, m = F.when(joined, f - along).otherwise(f % ni), F.when(joined, 0).otherwise(_div(f, ni) + 1)
         v = e < up
         a = F.when(v, i + j * n1).otherwise(k + 1 + m * n1)
         b = F.when(v, i + (j + 1) * n1).otherwise(k + m * n1)
-        c = F.when(v, i - 1 + j * ni).otherwise(k + (m - 1) * ni)
+        c = F.when(v, i - 1 + j * ni).when(joined, ni - 1 - k).otherwise(k + (m - 1) * ni)
         d = F.when(v, i + j * ni).otherwise(k + m * ni)
         return a, b, c, d
 
     mesh.decl_map(edges, nodes, 2, lambda e: [edge(e)[1], edge(e)[0]], "edge_nodes")
     mesh.decl_map(edges, cells, 2, lambda e: [edge(e)[2], edge(e)[3]], "edge_cells")
-    bedges = mesh.decl_set(2 * ni + 2 * nj, "bedges")
+    walls = ni - 2 * cut
+    bedges = mesh.decl_set(walls + ni + 2 * nj, "bedges")
 
     def bedge(e):
-        low, top, left = e < ni, (e >= ni) & (e < 2 * ni), (e >= 2 * ni) & (e < 2 * ni + nj)
-        i = F.when(low, e).otherwise(e - ni)
-        j = F.when(left, e - 2 * ni).otherwise(e - 2 * ni - nj)
-        a = F.when(low, i).when(top, i + 1 + nj * n1).when(left, (j + 1) * n1).otherwise(ni + j * n1)
-        b = F.when(low, i + 1).when(top, i + nj * n1).when(left, j * n1).otherwise(ni + (j + 1) * n1)
-        c = F.when(low, i).when(top, i + (nj - 1) * ni).when(left, j * ni).otherwise(ni - 1 + j * ni)
-        return b, a, c, F.when(low | top, 1).otherwise(2)
+        low, high, left = e < walls, (e >= walls) & (e < walls + ni), (e >= walls + ni) & (e < walls + ni + nj)
+        i = F.when(low, e + cut).otherwise(e - walls)
+        j = F.when(left, e - walls - ni).otherwise(e - walls - ni - nj)
+        a = F.when(low, i).when(high, i + 1 + nj * n1).when(left, (j + 1) * n1).otherwise(ni + j * n1)
+        b = F.when(low, i + 1).when(high, i + nj * n1).when(left, j * n1).otherwise(ni + (j + 1) * n1)
+        c = F.when(low, i).when(high, i + (nj - 1) * ni).when(left, j * ni).otherwise(ni - 1 + j * ni)
+        return b, a, c, F.when(low, 1).when(high, top).otherwise(2)
 
     mesh.decl_map(bedges, nodes, 2, lambda e: list(bedge(e)[:2]), "bedge_nodes")
     mesh.decl_map(bedges, cells, 1, lambda e: bedge(e)[2], "bedge_cell")
@@ -105,6 +118,80 @@ def channel(spark: SparkSession, ni: int = 20, nj: int = 10, height: float = 0.1
     return mesh
 
 
+def _spline(x, y, at):
+    """The cubic spline through (x, y) whose third derivative doesn't jump at the second and the last but one point."""
+    import numpy as np
+
+    h, n = np.diff(x), len(x)
+    slope = np.diff(y) / h
+    a, b = np.zeros((n, n)), np.zeros(n)
+    for k in range(1, n - 1):
+        a[k, k - 1 : k + 2] = h[k - 1], 2 * (h[k - 1] + h[k]), h[k]
+        b[k] = 6 * (slope[k] - slope[k - 1])
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    m = np.linalg.solve(a, b)  # second derivatives
+    k = np.clip(np.searchsorted(x, at) - 1, 0, n - 2)
+    t, u = at - x[k], x[k + 1] - at
+    return (m[k] * u**3 + m[k + 1] * t**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * u + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * t
+
+
+def _wing(chord: int):
+    """The lower end of each column of nodes in the plane of square roots: the wing's outline in the middle third, else the cut."""
+    import numpy as np
+
+    #: The outline's scale, its coefficients by sqrt(x), x, x^2, x^3 and x^4, and the point the root is taken about.
+    scale, terms, about = 0.594689181, (0.298222773, -0.127125232, -0.357907906, 0.291984971, -0.105174696), 0.0077
+    x = np.sin(np.linspace(0, np.pi / 2, 100)) ** 2
+    y = scale * sum(c * x**e for c, e in zip(terms, (0.5, 1, 2, 3, 4), strict=True))
+    y[-1] = 0.0
+    root = np.sqrt(x + 1j * y - about)
+    outline = np.concatenate([-root[::-1].conj(), root[1:]])
+    columns = np.linspace(-3, 3, 3 * chord + 1)
+    low = np.zeros_like(columns)
+    low[chord + 1 : 2 * chord] = _spline(outline.real, outline.imag, columns[chord + 1 : 2 * chord])
+    return columns, low
+
+
+def _wing_nodes(spark: SparkSession, chord: int, out: int, skip: int):
+    """(id, x, y) of a grid round a wing, without the first ``skip`` nodes; the outline is a table of one row for each of 3 chord + 1 columns."""
+    import numpy as np
+
+    n1 = 3 * chord + 1
+    columns, low = _wing(chord)
+    ends = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(columns, np.asarray(low), strict=True))], "k bigint, a double, b double")
+    grid = spark.range(skip, n1 * (out + 1)).select((F.col("id") - skip).alias("id"), (F.col("id") % n1).alias("k"), _div(F.col("id"), n1).alias("j")).join(ends, "k")
+    up = F.col("b") + (3.0 - F.col("b")) * (F.col("j") / F.lit(float(out)))
+    return grid.select("id", (F.col("a") * F.col("a") - up * up).alias("x"), (2.0 * F.col("a") * up).alias("y"))
+
+
+def wing(spark: SparkSession, chord: int = 20, out: int = 30) -> Mesh:
+    """A grid round a NACA0012 wing as a finite-volume mesh: 3 chord x out cells, ``chord`` walls, and as many faces along the cut behind the wing."""
+    mesh = Mesh(spark)
+    nodes = mesh.decl_set((3 * chord + 1) * (out + 1), "nodes")
+    mesh.decl_dat(nodes, 2, "double", _wing_nodes(spark, chord, out, 0), "x")
+    return _volumes(mesh, 3 * chord, out, chord, 2)
+
+
+def wing_elements(spark: SparkSession, chord: int = 20, out: int = 30) -> Mesh:
+    """The same grid as bilinear elements: nodes of the cut are there once, and ``held`` are the nodes of the far field."""
+    mesh, ni = Mesh(spark), 3 * chord
+    n1, skip = ni + 1, chord + 1
+    nodes = mesh.decl_set(n1 * (out + 1) - skip, "nodes")
+    mesh.decl_dat(nodes, 2, "double", _wing_nodes(spark, chord, out, skip), "x")
+    cells = mesh.decl_set(ni * out, "cells")
+
+    def node(i, j):
+        return F.when((j == 0) & (i <= chord), ni - i).otherwise(i + j * n1) - skip
+
+    mesh.decl_map(cells, nodes, 4, lambda c: [node(c % ni + i, _div(c, ni) + j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))], "cell_nodes")
+    held = mesh.decl_set(ni + 2 * out, "held")
+    # Both ends of each row over the lowest one's first, then the highest row between its ends, then the lowest row's last.
+    side, j = lambda h: h % 2, lambda h: _div(h, 2) + 1
+    mesh.decl_map(held, nodes, 1, lambda h: F.when(h < 2 * out, node(side(h) * ni, j(h))).when(h < 2 * out + ni - 1, node(h - 2 * out + 1, F.lit(out))).otherwise(node(F.lit(ni), F.lit(0))), "held_nodes")
+    return mesh
+
+
 def text_lines(mesh: Mesh) -> list[str]:
     """The text form of a small finite-volume mesh, for round trips."""
     def rows(name, columns):

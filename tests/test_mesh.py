@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.functions.kernels import Gas
+from meshloom.functions.kernels import Gas, Potential
 from meshloom.operators import graph
 from meshloom.operators.args import INC, MAX, MIN, RW, WORK, WRITE, arg_dat, arg_gbl, arg_idx, arg_info, opt_arg_dat
 from meshloom.operators.model import Mesh, MeshError, spark_type
@@ -355,3 +355,91 @@ def test_show_prints_the_first_elements(spark, capsys):
     a = mesh.decl_set(4, "a")
     mesh.show(mesh.decl_dat(a, 2, "int", [0, 1, 2, 3, 4, 5, 6, 7], "x"), most=2)
     assert capsys.readouterr().out.split("\n") == ["x on a: 4 elements of 2", "0 0 1", "1 2 3", ""]
+
+
+def test_flow_round_a_wing_with_temporary_dats(spark):
+    mesh, gas = generate.wing(spark, 4, 3), Gas()
+    assert {n: s.size for n, s in mesh.sets.items()} == {"nodes": 52, "cells": 36, "edges": 11 * 3 + 12 * 2 + 4, "bedges": 4 + 12 + 6}
+    assert not mesh.is_onto(mesh.maps["bedge_nodes"]) and mesh.is_onto(mesh.maps["cell_nodes"])
+    want_q, want = plain_flow(mesh, gas, 2)
+    apps.start_flow(mesh, gas, temporary=True)
+    got = apps.flow_history(mesh, gas, 2, temporary=True)
+    np.testing.assert_allclose([g[0] for g in got], want, rtol=1e-9)
+    np.testing.assert_allclose(values(mesh, mesh.dats["cells", "q"]), want_q, rtol=1e-11)
+    assert set(n for s, n in mesh.dats if s == "cells") == {"q"}
+
+
+def test_the_faces_of_every_cell_of_the_wing_close(spark):
+    """Outward normals of a cell's faces sum to zero, over the cut too."""
+    mesh = generate.wing(spark, 5, 4)
+    rows = lambda s, c: [tuple(r) for r in mesh.frames[s].orderBy("id").select(*c).collect()]
+    m, x = mesh.maps, rows("nodes", ["x__0", "x__1"])
+    total = np.zeros((60, 2))
+    for (a, b), (c, d) in zip(rows("edges", m["edge_nodes"].columns), rows("edges", m["edge_cells"].columns), strict=True):
+        n = np.array([x[a][1] - x[b][1], x[b][0] - x[a][0]])
+        total[c] += n
+        total[d] -= n
+    for (a, b), (c,) in zip(rows("bedges", m["bedge_nodes"].columns), rows("bedges", m["bedge_cell"].columns), strict=True):
+        total[c] += np.array([x[a][1] - x[b][1], x[b][0] - x[a][0]])
+    np.testing.assert_allclose(total, 0, atol=1e-12)
+
+
+def test_largest_change_and_its_cell(spark):
+    mesh, gas = generate.channel(spark, 6, 4), Gas()
+    apps.start_flow(mesh, gas)
+    before = np.array(values(mesh, mesh.dats["cells", "q"]))
+    apps.flow(mesh, gas, 1)
+    middle = np.array(values(mesh, mesh.dats["cells", "q"]))
+    _, worst, cell = apps.flow_history(mesh, gas, 1)[0]
+    change = ((np.array(values(mesh, mesh.dats["cells", "q"])) - middle) ** 2).max(axis=1)
+    assert before.shape == middle.shape
+    assert cell == int(change.argmax())
+    np.testing.assert_allclose(worst, change.max(), rtol=1e-9)
+
+
+def plain_potential(x, cells, held, mach, rounds):
+    """Newton's rounds with whole matrices, Gauss points and shape functions written out."""
+    g = [0.5 - 0.5 / 3**0.5, 0.5 + 0.5 / 3**0.5]
+    phi, out = mach * x[:, 0], []
+    for _ in range(rounds):
+        big, res = np.zeros((len(x), len(x))), np.zeros(len(x))
+        for nodes in cells:
+            at = x[list(nodes)]
+            for s in g:
+                for t in g:
+                    local = np.array([[-(1 - t), 1 - t, t, -t], [-(1 - s), -s, s, 1 - s]])
+                    jac = local @ at
+                    grad = np.linalg.solve(jac, local)
+                    w = 0.25 * abs(np.linalg.det(jac))
+                    v = grad @ phi[list(nodes)]
+                    base = 1 + 0.2 * (mach**2 - v @ v)
+                    rho, along = base**2.5, v @ grad
+                    res[list(nodes)] += w * rho * along
+                    big[np.ix_(nodes, nodes)] += w * rho * (grad.T @ grad - np.outer(along, along) / base)
+        res[held] = 0
+        u, p, now, steps = np.zeros(len(x)), res.copy(), res @ res, 0
+        first = now
+        while steps < 200 and now > 0.01 * first:
+            v = big @ p
+            v[held] = 0
+            a = now / (p @ v)
+            u, res = u + a * p, res - a * v
+            p, now, steps = res + (res @ res) / now * p, res @ res, steps + 1
+        phi = phi - u
+        out.append((steps, (u @ u / len(x)) ** 0.5))
+    return phi, out
+
+
+def test_potential_flow_equals_whole_matrices(spark):
+    mesh = generate.wing_elements(spark, 4, 2)
+    assert {n: s.size for n, s in mesh.sets.items()} == {"nodes": 34, "cells": 24, "held": 16}
+    rows = lambda s, c: [tuple(r) for r in mesh.frames[s].orderBy("id").select(*c).collect()]
+    x = np.array(rows("nodes", ["x__0", "x__1"]))
+    cells, held = rows("cells", mesh.maps["cell_nodes"].columns), [h for (h,) in rows("held", mesh.maps["held_nodes"].columns)]
+    assert len(set(held)) == 16
+    want_phi, want = plain_potential(x, cells, held, 0.3, 2)
+    got = apps.potential_flow(mesh, Potential(mach=0.3), rounds=2)
+    assert [s for s, _ in got] == [s for s, _ in want]
+    assert want[0][1] > 1e-4
+    np.testing.assert_allclose([r for _, r in got], [r for _, r in want], rtol=1e-8)
+    np.testing.assert_allclose([v for (v,) in values(mesh, mesh.dats["nodes", "phi"])], want_phi, rtol=1e-10)
