@@ -582,7 +582,12 @@ def q61_dual_graph(spark, sf_dir):
     return graph.dual_graph(mesh.maps["lineitem_supplier"], mesh.maps["lineitem_orders"])
 
 
-@_query()
+@_query(
+    "WITH n AS (SELECT i AS id, i % 11 AS x, i // 11 AS y FROM range(121) t(i)),"
+    " r AS (SELECT *, 0.25::DOUBLE * ((x = 0)::INT + (x = 10)::INT + (y = 0)::INT + (y = 10)::INT) AS r FROM n),"
+    " near AS (SELECT a.id, sum(b.r) AS s FROM r a JOIN r b ON (b.y = a.y AND b.x IN (a.x - 1, a.x + 1)) OR (b.x = a.x AND b.y IN (a.y - 1, a.y + 1)) GROUP BY a.id)"
+    " SELECT r.id, r.r + 0.25::DOUBLE * near.s AS u__0 FROM r JOIN near ON near.id = r.id"
+)
 def q70_jacobi_grid(spark, sf_dir):
     from meshloom.plans import apps
     from meshloom.sources import generate
@@ -599,6 +604,31 @@ def q71_finite_volume(spark, sf_dir):
     return apps.flow_state(spark)
 
 
+@_query()
+def q74_wing_flow(spark, sf_dir):
+    """A time step round a wing, what it works with declared and freed within the step."""
+    from meshloom.functions.kernels import Gas
+    from meshloom.plans import apps
+    from meshloom.sources import generate
+
+    mesh, gas = generate.wing(spark, 8, 6), Gas()
+    apps.start_flow(mesh, gas, temporary=True)
+    apps.flow(mesh, gas, 1, temporary=True)
+    return mesh.fetch(mesh.dats["cells", "q"])
+
+
+@_query()
+def q75_potential_flow(spark, sf_dir):
+    """Two of Newton's rounds for potential flow round a wing."""
+    from meshloom.functions.kernels import Potential
+    from meshloom.plans import apps
+    from meshloom.sources import generate
+
+    mesh = generate.wing_elements(spark, 4, 3)
+    apps.potential_flow(mesh, Potential(), rounds=2)
+    return mesh.fetch(mesh.dats["nodes", "phi"])
+
+
 @_query()
 def q72_part_geometric(spark, sf_dir):
     mesh, _, _ = _part(spark, sf_dir)
