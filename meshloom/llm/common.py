@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -95,6 +96,32 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *more)
 
 
+def slices(batches, rows: int = 1000):
+    """The batches in slices of so few rows that their Python objects are small."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed: Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A task's function that gives freed memory back before and after it: Python workers outlive their stage."""
+
+    def lean_run(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return lean_run
+
+
 def row_key(i: Column, digest: Column) -> Column:
     """One text for an id, null or not, and a digest of the row's text."""
     return F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), digest)

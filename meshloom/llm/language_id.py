@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import id_and_text
+from meshloom.llm.common import id_and_text, lean, slices
 
 UNKNOWN = "und"
 WIDTH, EMBED = 24, 16
@@ -361,8 +361,8 @@ def accepted(docs: DataFrame, net: ByteGru | None, least: float = LEAST, text_co
 
     def run(batches):
         reader = net.reader() if net else None
-        for batch in batches:
+        for batch in slices(batches):
             keep = [x != UNKNOWN and s >= bound for x, s in predict(reader, batch.column(batch.schema.get_field_index(text_col)).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

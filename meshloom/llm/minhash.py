@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import drop, id_and_text, spool
+from meshloom.llm.common import drop, id_and_text, slices, spool
 from meshloom.llm.components import components
 from meshloom.llm.shingles import lower, mix, shingle_sets, texts_of
 
@@ -108,13 +108,6 @@ def _set_key(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def _slices(batches, rows: int = 1000):
-    """The batches in slices of so few rows that their Python objects are small."""
-    for batch in batches:
-        for lo in range(0, len(batch), rows):
-            yield batch.slice(lo, rows)
-
-
 def _sketch(words: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
@@ -158,7 +151,7 @@ def _ties(num: int, den: int):
 
     def run(batches):
         bucket, ids, sigs, out = None, [], [], []
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for b, i, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != bucket:
                     out += settle(ids, sigs) if len(ids) > 1 else []
@@ -239,7 +232,7 @@ def _small(num: int, den: int):
 
     def run(batches):
         root, rows, out = None, [], []
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for i, r, sig, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r != root:
                     out += settle(rows) if rows else []
@@ -299,7 +292,7 @@ def _blocks(num: int, den: int):
 
     def run(batches):
         block, queries, members, out = None, [], [], []
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for root, q, m, query, i, c, sig, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (root, q, m) != block:
                     out += settle(queries, members)

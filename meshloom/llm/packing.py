@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import id_and_text, spool
+from meshloom.llm.common import id_and_text, lean, slices, spool
 from meshloom.llm.word_tokens import default_vocabulary, word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
@@ -124,7 +124,7 @@ def _pieces(vocabulary: str, capacity: int, end_id: int):
 
         encode, end, task = word_ids(vocabulary).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(7)]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 for piece, start, length, crc in cut(encode(text) + end, capacity):
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
     # The written table fixes each piece's task and rank, whatever becomes of the executors.
-    pieces = spool(rows.mapInArrow(_pieces(vocabulary or default_vocabulary(), capacity, end_id), PIECES), "pieces")
+    pieces = spool(rows.mapInArrow(lean(_pieces(vocabulary or default_vocabulary(), capacity, end_id)), PIECES), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = by_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import id_and_text
+from meshloom.llm.common import id_and_text, lean, slices
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns of the plain kinds; an e-mail address is one or more of LOCAL, @, and HOST.
@@ -272,9 +272,9 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every identifier in the text replaced by its kind; a null text stays null."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             k = batch.schema.get_field_index(text_col)
             texts = [None if t is None else mask(t) for t in batch.column(k).to_pylist()]
             yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -24,7 +24,7 @@ class WordIds:
     bytes it becomes the old one, and the old one goes.
     """
 
-    def __init__(self, path: str, limit: int = 120 << 20):
+    def __init__(self, path: str, limit: int = 40 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -1,8 +1,11 @@
 """The training-data operators on small tables against plain versions, with odd rows in every column."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -123,6 +126,39 @@ def test_word_cache_equals_the_library(encoder):
         assert np.frombuffer(cache.encode(t.encode()), "<u4").tolist() == encoder.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_cache_is_small_beside_an_executor():
+    cache = word_tokens.word_ids(word_tokens.default_vocabulary())
+    most = 0
+    for k in range(300):
+        cache.encode(" ".join(f"w{j}x" for j in range(k * 2000, k * 2000 + 2000)).encode())
+        most = max(most, sum(len(w) + len(v) + 150 for held in (cache.young, cache.old) for w, v in held.items()) if k % 20 == 19 else 0)
+    word_tokens._kept.clear()
+    assert most < 90 << 20
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory is read from /proc")
+def test_a_task_gives_its_memory_back():
+    code = """
+import re
+import pyarrow as pa
+from meshloom.llm import common
+anon = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+def run(batches):
+    held = []
+    for batch in batches:
+        own = [pa.array([bytes(50_000)] * 200) for _ in range(20)]
+        blocks = [bytearray(60_000) for _ in range(4000)]
+        held.append(blocks[-1])
+        yield batch
+    keep.extend(held)
+keep, before = [], anon()
+list(common.lean(run)([1]))
+print(anon() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert int(out.stdout) < 100
+
+
 def test_packing_is_exact_and_tight(spark, encoder):
     rows = odd_rows()
     got = packing.pack(documents(spark, rows), capacity=64).collect()
