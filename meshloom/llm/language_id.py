@@ -2,7 +2,8 @@
 
 The network reads the bytes of a text both ways and labels every position; a
 document's probabilities are the mean over the positions of all its letters (a
-byte above 127 counts as one). A text is read in windows of ``SPAN`` labelled
+byte above 127 counts as one). Texts are laid out one after the other, both states
+beginning anew between them, and read in windows of up to ``SPAN`` labelled
 positions, many side by side: the forward state enters a window from ``CONTEXT``
 bytes before it, the backward state from as many after it, so that both run on
 across words and across windows' bounds, and a text is never cut short.
@@ -40,13 +41,13 @@ WIDTH, EMBED = 24, 16
 PER_LANGUAGE, PER_DOCUMENT, EPOCHS = 400, 8, 3
 #: Bytes of the passages that are learned from: half are of the last length, where a text has so many.
 PASSAGES = (12, 32, 96)
-#: Positions that a window labels, and bytes on both sides from which the states enter it; spans are cut to multiples of CONTEXT.
-SPAN, CONTEXT = 256, 32
+#: Positions that a window labels at most, and bytes on both sides from which the states enter it.
+SPAN, CONTEXT = 2048, 32
 #: Windows that are read side by side, and bytes of texts that are laid out at a time; a longer text is laid out whole.
-LANES, HELD = 512, 2 << 20
+LANES, HELD = 256, 512 << 10
 #: A text stays from this share of the way between an even score of all labels and 1 on.
 LEAST = 0.12
-#: The byte that stands for none, at which a state doesn't change.
+#: The byte that stands for none, between texts, at which a state begins anew.
 NONE = 256
 _LETTER = np.zeros(NONE + 1, np.float32)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -164,61 +165,64 @@ class ByteGru:
 
 
 class Reader:
-    """A network's tables as its recurrence reads them, with a row for no byte, and the labels of whole texts."""
+    """A network's weights as its recurrence reads them, with a column for no byte, and the labels of whole texts.
+
+    Arrays have a row for each unit and a column for each window, and both
+    directions side by side, so that what a step touches lies together. A step
+    multiplies a state and its byte's embedding, one above the other, at once.
+    """
 
     def __init__(self, net: ByteGru):
-        n, f, self.net = net.width, np.float32, net
-        self.d = {}
-        for d in "fb":
-            table = np.zeros((NONE + 1, 3 * n), f)
-            table[:NONE] = net.p["E"] @ net.p[f"W{d}"] + net.p[f"a{d}"]
-            table[NONE, n : 2 * n] = 60  # the state stays
-            u = net.p[f"U{d}"].astype(f)
-            # A gate is (1 + tanh(x / 2)) / 2, which is quicker than by an exponential; the reset gate's half is in its weights.
-            self.d[d] = [np.ascontiguousarray(x) for x in (table[:, : 2 * n] / 2, table[:, 2 * n :], u[:, : 2 * n] / 2, u[:, 2 * n :] / 2)]
-        self.out = [np.ascontiguousarray(net.p["V"][:n], f), np.ascontiguousarray(net.p["V"][n:], f), net.p["c"].astype(f)]
-
-    def _read(self, x: np.ndarray, d: str, out: np.ndarray) -> None:
-        """The states after each of the last len(out) rows of x (steps, windows), read in order."""
-        gates, news, ug, un = self.d[d]
-        n, lanes = un.shape[0], x.shape[1]
-        h, g, own = np.zeros((lanes, n), np.float32), np.empty((lanes, 2 * n), np.float32), np.empty((lanes, 2 * n), np.float32)
-        new, mine = np.empty((lanes, n), np.float32), np.empty((lanes, n), np.float32)
-        r, z, skip, half = g[:, :n], g[:, n:], len(x) - len(out), np.float32(0.5)
-        for t in range(len(x)):
-            np.take(gates, x[t], axis=0, out=g, mode="clip")
-            np.dot(h, ug, out=own)
-            g += own
-            np.tanh(g, out=g)
-            g += 1
-            np.take(news, x[t], axis=0, out=new, mode="clip")
-            np.dot(h, un, out=mine)
-            mine *= r
-            new += mine
-            np.tanh(new, out=new)
-            h -= new
-            h *= z
-            h *= half
-            h += new
-            if t >= skip:
-                out[t - skip] = h
+        n, m, f, self.net = net.width, net.p["E"].shape[1], np.float32, net
+        # Below the embedding: 1 for a byte, which the biases take, and 1 for none, which shuts both gates, so that the state is 0.
+        self.bytes = np.zeros((m + 2, NONE + 1), f)
+        self.bytes[:m, :NONE], self.bytes[m, :NONE], self.bytes[m + 1, NONE] = net.p["E"].T, 1, 1
+        shut = np.where(np.arange(3 * n) < 2 * n, -1000, 0)
+        u = np.stack([net.p[f"U{d}"].T for d in "fb"])
+        w = np.stack([np.vstack([net.p[f"W{d}"], net.p[f"a{d}"], shut]).T for d in "fb"])
+        # A gate is (1 + tanh(x / 2)) / 2, which is quicker than by an exponential; the reset gate's half is in its weights.
+        self.gates = np.ascontiguousarray(np.concatenate([u, w], axis=2)[:, : 2 * n].reshape(2, 2, n, -1).swapaxes(0, 1) / 2, f)
+        self.own, self.news = np.ascontiguousarray(u[:, 2 * n :] / 2, f), np.ascontiguousarray(w[:, 2 * n :], f)
+        self.out = np.ascontiguousarray(net.p["V"].reshape(2, n, -1).transpose(0, 2, 1), f)
+        # Windows of many labels are shorter.
+        self.span = max(8 * CONTEXT, 4 * SPAN // max(4, len(net.labels)))
 
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """(labels, positions, windows): the probabilities at the positions between both contexts of windows (windows, bytes)."""
-        x = np.ascontiguousarray(x.T, dtype=np.intp)
-        forward = np.empty((len(x) - 2 * CONTEXT, x.shape[1], self.net.width), np.float32)
-        backward = np.empty_like(forward)
-        self._read(x[: len(x) - CONTEXT], "f", forward)
-        self._read(x[: CONTEXT - 1 : -1], "b", backward[::-1])
-        n = self.net.width
-        y = forward.reshape(-1, n) @ self.out[0]
-        y += backward.reshape(-1, n) @ self.out[1]
-        y += self.out[2]
-        y = np.ascontiguousarray(y.T)
-        y -= y.max(axis=0)
-        np.exp(y, out=y)
-        y /= y.sum(axis=0)
-        return y.reshape(len(y), *forward.shape[:2])
+        """(positions, labels, windows): the probabilities at the positions between both contexts of windows, x (bytes, windows)."""
+        n, lanes, half, steps = self.net.width, x.shape[1], np.float32(0.5), len(x) - 2 * CONTEXT
+        below = np.zeros((2, n + len(self.bytes), lanes), np.float32)
+        h, e = below[:, :n], below[:, n:]
+        gates, own, new = np.empty((2, 2, n, lanes), np.float32), np.empty((2, n, lanes), np.float32), np.empty((2, n, lanes), np.float32)
+        r, z = gates
+        y, some = np.empty((steps, self.out.shape[1], lanes), np.float32), np.empty((CONTEXT, 2, self.out.shape[1], lanes), np.float32)
+        y[:] = self.net.p["c"][:, None]
+        for at in range(-CONTEXT, steps, CONTEXT):
+            found = some[: min(CONTEXT, steps - at)]
+            for k in range(len(found)):
+                t = at + CONTEXT + k
+                np.take(self.bytes, x[t], axis=1, out=e[0], mode="clip")
+                np.take(self.bytes, x[-1 - t], axis=1, out=e[1], mode="clip")
+                np.matmul(self.gates, below, out=gates)
+                np.tanh(gates, out=gates)
+                np.add(gates, 1, out=gates)
+                np.matmul(self.own, h, out=own)
+                np.multiply(own, r, out=own)
+                np.matmul(self.news, e, out=new)
+                np.add(new, own, out=new)
+                np.tanh(new, out=new)
+                np.subtract(h, new, out=own)
+                np.multiply(own, z, out=own)
+                np.multiply(own, half, out=own)
+                np.add(own, new, out=h)
+                np.matmul(self.out, h, out=found[k])
+            if at >= 0:
+                y[at : at + len(found)] += found[:, 0]
+                y[steps - at - len(found) : steps - at] += found[::-1, 1]
+        for part in np.split(y, range(CONTEXT, len(y), CONTEXT)):
+            part -= part.max(axis=1, keepdims=True)
+            np.exp(part, out=part)
+            part /= part.sum(axis=1, keepdims=True)
+        return y
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """(texts, labels + 1): the sums over the positions of each text's letters, and their number."""
@@ -233,27 +237,26 @@ class Reader:
         return out
 
     def _pool(self, texts: list[bytes], out: np.ndarray) -> None:
-        gap = 2 * CONTEXT
-        size = np.array([len(t) for t in texts])
-        start = np.cumsum(size + gap) - size
-        data = np.full(int((size + gap).sum()) + gap + SPAN, NONE, np.uint16)
-        for a, t in zip(start.tolist(), texts, strict=True):
-            data[a : a + len(t)] = np.frombuffer(t, np.uint8)
-        count = -(-size // SPAN)
-        text = np.repeat(np.arange(len(texts)), count)
-        first = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * SPAN
-        length = -(-np.minimum(size[text] - first, SPAN) // CONTEXT) * CONTEXT
-        for n in np.unique(length).tolist():
-            own = np.flatnonzero(length == n)
-            windows = np.lib.stride_tricks.sliding_window_view(data, n + 2 * CONTEXT)
-            for k in range(0, len(own), LANES):
-                lanes = own[k : k + LANES]
-                x = windows[start[text[lanes]] + first[lanes] - CONTEXT]
-                letter = _LETTER[x[:, CONTEXT : CONTEXT + n]].T
-                seen = self.positions(x)
-                seen *= letter
-                np.add.at(out[:, :-1], text[lanes], seen.sum(axis=1, dtype=np.float64).T)
-                np.add.at(out[:, -1], text[lanes], letter.sum(axis=0, dtype=np.float64))
+        size = np.array([len(t) + 1 for t in texts])
+        total, end = int(size.sum()), np.cumsum(size)
+        first = end - size
+        n = min(self.span, max(8 * CONTEXT, -(-total // LANES)))
+        count = -(-total // n)
+        data = np.full(count * n + 2 * CONTEXT, NONE, np.uint16)
+        data[CONTEXT : CONTEXT + total - 1] = np.frombuffer(b" ".join(texts), np.uint8)
+        data[CONTEXT - 1 + end] = NONE
+        windows = np.lib.stride_tricks.sliding_window_view(data, n + 2 * CONTEXT)[::n]
+        for k in range(0, count, LANES):
+            x = np.ascontiguousarray(windows[k : k + LANES].T, dtype=np.intp)
+            seen, letter = self.positions(x), _LETTER[x[CONTEXT:-CONTEXT]]
+            seen *= letter[:, None]
+            # The texts of these windows, and where each begins in them.
+            lo, hi = k * n, k * n + letter.size
+            own = slice(int(np.searchsorted(first, lo, "right")) - 1, int(np.searchsorted(first, hi)))
+            cuts = np.maximum(first[own] - lo, 0)
+            for label in range(seen.shape[1]):
+                out[own, label] += np.add.reduceat(seen[:, label].T.ravel(), cuts, dtype=np.float64)
+            out[own, -1] += np.add.reduceat(letter.T.ravel(), cuts, dtype=np.float64)
 
 
 def mixed(pairs: list[tuple[int, bytes]], seed: int = 5) -> list[tuple[bytes, np.ndarray]]:

@@ -604,6 +604,38 @@ def test_gradients_of_the_language_network():
         assert abs((losses[0] - losses[1]) / (2 * step) - g[name][at]) < 2e-3, name
 
 
+def test_language_reader_runs_over_whole_texts(monkeypatch):
+    net = language_id.ByteGru(["a", "b", "c"], seed=3)
+    for d in "fb":
+        net.p[f"a{d}"][net.width : 2 * net.width] = 5  # states that last, which must neither end at a window of a text nor reach the next text
+    draw = np.random.default_rng(4)
+    texts = [draw.integers(32, 123, 300).astype(np.uint8).tobytes() for _ in range(1500)]
+    x = np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1)
+    y = np.concatenate([net._states(x, "f"), net._states(x[:, ::-1], "b")[::-1]], axis=2) @ net.p["V"] + net.p["c"]
+    y = np.exp(y - y.max(axis=2, keepdims=True))
+    letter = ((x | 32) >= 97) & ((x | 32) <= 122)
+    want = (y / y.sum(axis=2, keepdims=True) * letter.T[:, :, None]).sum(axis=0)
+    read, positions = [], language_id.Reader.positions
+    monkeypatch.setattr(language_id.Reader, "positions", lambda self, x: read.append(x.size) or positions(self, x))
+    got = net.reader().pooled(texts)
+    assert (got[:, -1] == letter.sum(axis=1)).all()
+    near = np.abs(got[:, :-1] - want).max(axis=1) < 1e-3
+    assert near.mean() > 0.75  # the others lie across a window's bound
+    assert sum(read) < 1.1 * x.size
+
+
+def test_language_reader_on_a_text_of_many_windows(monkeypatch):
+    net, draw = language_id.ByteGru(["a", "b"], seed=5), np.random.default_rng(6)
+    texts = [draw.integers(97, 123, n).astype(np.uint8).tobytes() for n in (1, 40, 5000, 2, 31, 700)]
+    whole = net.reader().pooled(texts)
+    monkeypatch.setattr(language_id, "LANES", 3)
+    monkeypatch.setattr(language_id, "HELD", 1000)
+    cut = net.reader().pooled(texts)
+    assert (cut[:, -1] == [len(t) for t in texts]).all()
+    assert np.allclose(whole, cut, rtol=1e-3, atol=1e-3)
+    assert np.allclose(cut[:, :-1].sum(axis=1), cut[:, -1], rtol=1e-5)
+
+
 def test_language_id(spark):
     draw = random.Random(12)
     kinds = {"aa": ["katalo", "kimono", "takoma", "mokita"], "bb": ["frühst", "größe", "straße", "schüh"]}
