@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import Cells, filesystem, id_and_text, scratch, write_file
+from meshloom.llm.common import Cells, filesystem, id_and_text, scratch, slices, write_file
 from meshloom.llm.word_tokens import default_vocabulary, word_ids
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -142,7 +142,7 @@ def _write(folder: str, vocabulary: str, end_id: int, frame_ids: int):
 
 def _runs(batches):
     """(cell, its rows) for batches of (cell, id, text) in order of the cell; rows are read as they are used."""
-    rows = ((c, i, t) for b in batches for c, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True))
+    rows = ((c, i, t) for b in slices(batches) for c, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True))
     held = next(rows, None)
 
     def own(cell):

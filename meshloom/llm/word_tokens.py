@@ -8,6 +8,7 @@ is encoded once by the library and kept, packed, in a bounded cache.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -15,6 +16,8 @@ import numpy as np
 MARK = "\x01"
 #: Signs that the pre-tokenizer parts from a letter before them; an apostrophe may join to what follows.
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: Words of letters a-z and from U+00C0 to U+024F, which neither the normalizer nor the pre-tokenizer parts; not U+0130, whose lower case has a mark.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
 
 
 class WordIds:
@@ -33,6 +36,11 @@ class WordIds:
         self.old: dict[bytes, bytes] = {}
         mark = self._ids(MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
+        # Ids that end a word, where the vocabulary has a suffix for them.
+        suffix, known = getattr(self.encoder.model, "end_of_word_suffix", None), self.encoder.get_vocab()
+        self.ends = np.zeros(max(known.values(), default=-1) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in known.items() if token.endswith(suffix)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -40,8 +48,8 @@ class WordIds:
     def learn(self, words: set[bytes]) -> None:
         """Encode the words that aren't known; afterwards all given ones are.
 
-        A word that ends in ASCII signs after an ASCII letter is put together
-        from its parts: the pre-tokenizer parts them too.
+        A word that ends in ASCII signs after an ASCII letter, or after a plain
+        word, is put together from its parts: the pre-tokenizer parts them too.
         """
         if self.size > self.limit:
             self.old, self.young, self.size = self.young, {}, 0
@@ -49,7 +57,7 @@ class WordIds:
         parts = {}
         for w in new:
             core = w.rstrip(SIGNS)
-            if core and core != w and core[-1:].isalpha() and b"<|" not in w:
+            if core and core != w and (core[-1:].isalpha() or PLAIN.fullmatch(core)) and b"<|" not in w:
                 parts[w] = (core, w[len(core) :])
         lone = new.difference(parts)
         lone.update(x for pair in parts.values() for x in pair)
@@ -66,17 +74,37 @@ class WordIds:
         return new.difference(known) if known else new
 
     def _encode(self, words: set[bytes]) -> None:
-        together = [w for w in words if b"\x01" not in w and b"<|" not in w] if self.mark is not None else []
-        for w in words if self.mark is None else words.difference(together):
+        plain = list(filter(PLAIN.fullmatch, words)) if self.ends.any() else []
+        # Plain words are parted by their last ids; should those not tell them apart, they go with the others.
+        rest = words.difference(plain)
+        for part, ids in self._batches(plain, " "):
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part) and int(cut[-1]) == len(ids):
+                self._cut(part, ids, cut, cut)
+            else:
+                rest.update(part)
+        together = [w for w in rest if b"\x01" not in w and b"<|" not in w] if self.mark is not None else []
+        for w in rest.difference(together):
             self._keep(w, self._ids(w.decode("utf-8", "replace")).tobytes())
-        texts = [f" {MARK} ".join([w.decode("utf-8", "replace") for w in together[k : k + 500]]) for k in range(0, len(together), 500)]
-        for k, found in enumerate(self.encoder.encode_batch_fast(texts, add_special_tokens=False)):
-            part, ids = together[500 * k : 500 * k + 500], np.array(found.ids, dtype="<u4")
-            packed, cut, at = ids.tobytes(), np.flatnonzero(ids == self.mark), 0
+        for part, ids in self._batches(together, f" {MARK} "):
+            cut = np.flatnonzero(ids == self.mark)
             assert len(cut) == len(part) - 1, "the mark must stand alone"
-            for w, end in zip(part, (*(cut * 4).tolist(), len(packed)), strict=True):
-                self._keep(w, packed[at:end])
-                at = end + 4
+            cut = np.append(cut, len(ids))
+            self._cut(part, ids, cut, cut + 1)
+
+    def _batches(self, words: list[bytes], between: str, size: int = 500):
+        """(words, their ids in turn) of some words at a time, encoded as one text."""
+        parts = [words[k : k + size] for k in range(0, len(words), size)]
+        texts = [between.join([w.decode("utf-8", "replace") for w in part]) for part in parts]
+        for part, found in zip(parts, self.encoder.encode_batch_fast(texts, add_special_tokens=False) if texts else (), strict=True):
+            yield part, np.array(found.ids, dtype="<u4")
+
+    def _cut(self, words: list[bytes], ids: np.ndarray, end: np.ndarray, after: np.ndarray) -> None:
+        """Keep each word's ids, up to its end and from after the one before."""
+        packed, at = ids.tobytes(), 0
+        for w, a, b in zip(words, (4 * end).tolist(), (4 * after).tolist(), strict=True):
+            self._keep(w, packed[at:a])
+            at = b
 
     def _keep(self, word: bytes, ids: bytes) -> None:
         self.young[word] = ids

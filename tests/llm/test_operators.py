@@ -126,6 +126,28 @@ def test_word_cache_equals_the_library(encoder):
         assert np.frombuffer(cache.encode(t.encode()), "<u4").tolist() == encoder.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_plain_words_need_no_mark(encoder):
+    cache, draw, read = word_tokens.WordIds(word_tokens.default_vocabulary()), random.Random(8), []
+    letters = "".join(map(chr, range(0xC0, 0x250)))
+    plain = sorted({"".join(draw.choice("abcdefghijklmnopqrstuvwxyzäéñß") for _ in range(draw.randint(1, 12))) for _ in range(3000)})
+    text = " ".join(plain)
+
+    class Counting:
+        def encode_batch_fast(self, texts, **how):
+            found = encoder.encode_batch_fast(texts, **how)
+            read.extend(len(x.ids) for x in found)
+            return found
+
+    cache.encoder = Counting()
+    want = encoder.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(cache.encode(text.encode()), "<u4").tolist() == want
+    assert sum(read) == len(want)  # nothing is encoded beside the words
+    cache.encoder = encoder
+    odd = [*letters, *(f"a{c}b{s}" for c in letters for s in ("", ".", "'", ",-", "\u0301", "s's"))]
+    for t in (" ".join(odd), *odd[::7], " ".join(w + draw.choice([".", "!?", "'", "&&&"]) for w in plain)):
+        assert np.frombuffer(cache.encode(t.encode()), "<u4").tolist() == encoder.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_word_cache_is_small_beside_an_executor():
     cache = word_tokens.word_ids(word_tokens.default_vocabulary())
     most = 0
