@@ -118,18 +118,19 @@ class ShardReader:
 
 def _write(folder: str, vocabulary: str, end_id: int, frame_ids: int):
     def run(batches):
-        encode, end = word_ids(vocabulary).encode, end_id.to_bytes(4, "little")
+        encode, end = word_ids(vocabulary).encode_all, end_id.to_bytes(4, "little")
         cells = _runs(batches)
         out: list[tuple] = []
         for cell, docs in cells:
             count = [0, 0]
 
             def encoded(docs=docs, count=count):
-                for i, text in docs:
-                    ids = encode(text) + end
-                    count[0] += 1
-                    count[1] += len(ids) // 4
-                    yield i, ids
+                for some in _some(docs):
+                    for (i, _), ids in zip(some, encode([text for _, text in some]), strict=True):
+                        ids += end
+                        count[0] += 1
+                        count[1] += len(ids) // 4
+                        yield i, ids
 
             path = f"{folder}/cell-{cell:010d}.ids.zst"
             write_file(path, encode_shard(encoded(), frame_ids))
@@ -140,6 +141,19 @@ def _write(folder: str, vocabulary: str, end_id: int, frame_ids: int):
     return run
 
 
+def _some(docs, size: int = 256 << 10):
+    """The rows (id, text) in lists of about so many bytes of texts."""
+    held, total = [], 0
+    for row in docs:
+        held.append(row)
+        total += len(row[1]) + 64
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def _runs(batches):
     """(cell, its rows) for batches of (cell, id, text) in order of the cell; rows are read as they are used."""
     rows = ((c, i, t) for b in slices(batches) for c, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True))

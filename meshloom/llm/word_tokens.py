@@ -111,13 +111,23 @@ class WordIds:
         self.size += len(word) + len(ids) + 150
 
     def encode(self, text: bytes) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; the new words of all are encoded together."""
         # The vocabulary knows lower case only; a special token's string must not arise here, though.
-        words = (text if b"<|" in text else text.lower()).split()
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.young.__getitem__, words))
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        out, late = [b""] * len(texts), []
+        for k, words in enumerate(split):
+            try:
+                out[k] = b"".join(map(self.young.__getitem__, words))
+            except KeyError:
+                late.append(k)
+        if late:
+            self.learn(set().union(*(split[k] for k in late)))
+            for k in late:
+                out[k] = b"".join(map(self.young.__getitem__, split[k]))
+        return out
 
 
 _kept: dict[str, WordIds] = {}

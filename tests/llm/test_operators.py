@@ -148,6 +148,17 @@ def test_plain_words_need_no_mark(encoder):
         assert np.frombuffer(cache.encode(t.encode()), "<u4").tolist() == encoder.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_new_words_of_several_texts_are_encoded_together(encoder):
+    texts = [t for _, t in odd_rows(5) if t] + ["", "known words", "known words", "<|endoftext|> A", "\x01 b"]
+    cache, learn, learned = word_tokens.WordIds(word_tokens.default_vocabulary(), limit=2000), word_tokens.WordIds.learn, []
+    cache.learn = lambda words: learned.append(len(words)) or learn(cache, words)
+    for some in (texts, texts[::-1]):
+        want = [encoder.encode(t, add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(x, "<u4").tolist() for x in cache.encode_all([t.encode() for t in some])] == want
+    assert len(learned) <= 2
+    assert cache.encode_all([]) == []
+
+
 def test_word_cache_is_small_beside_an_executor():
     cache = word_tokens.word_ids(word_tokens.default_vocabulary())
     most = 0
