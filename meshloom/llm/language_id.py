@@ -165,59 +165,59 @@ class ByteGru:
 
 
 class Reader:
-    """A network's weights as its recurrence reads them, with a column for no byte, and the labels of whole texts.
+    """A network's weights as its recurrence reads them, with a row for no byte, and the labels of whole texts.
 
-    Arrays have a row for each unit and a column for each window, and both
-    directions side by side, so that what a step touches lies together. A step
-    multiplies a state and its byte's embedding, one above the other, at once.
+    Arrays have both directions one after the other, a row for each window and a
+    column for each unit, so that what a byte adds to a window's units is one row of
+    a table, copied at once, and what a step touches lies together.
     """
 
     def __init__(self, net: ByteGru):
-        n, m, f, self.net = net.width, net.p["E"].shape[1], np.float32, net
-        # Below the embedding: 1 for a byte, which the biases take, and 1 for none, which shuts both gates, so that the state is 0.
-        self.bytes = np.zeros((m + 2, NONE + 1), f)
-        self.bytes[:m, :NONE], self.bytes[m, :NONE], self.bytes[m + 1, NONE] = net.p["E"].T, 1, 1
-        shut = np.where(np.arange(3 * n) < 2 * n, -1000, 0)
-        u = np.stack([net.p[f"U{d}"].T for d in "fb"])
-        w = np.stack([np.vstack([net.p[f"W{d}"], net.p[f"a{d}"], shut]).T for d in "fb"])
-        # A gate is (1 + tanh(x / 2)) / 2, which is quicker than by an exponential; the reset gate's half is in its weights.
-        self.gates = np.ascontiguousarray(np.concatenate([u, w], axis=2)[:, : 2 * n].reshape(2, 2, n, -1).swapaxes(0, 1) / 2, f)
-        self.own, self.news = np.ascontiguousarray(u[:, 2 * n :] / 2, f), np.ascontiguousarray(w[:, 2 * n :], f)
+        n, f, self.net = net.width, np.float32, net
+        w, u = np.zeros((2, NONE + 1, 3 * n), f), np.stack([net.p[f"U{d}"] for d in "fb"])
+        w[:, :NONE] = [net.p["E"] @ net.p[f"W{d}"] + net.p[f"a{d}"] for d in "fb"]
+        # No byte shuts both gates, so that the state is 0.
+        w[:, NONE, : 2 * n] = -1000
+        # A gate is 1 / (1 + exp(-x)), a new state 1 - 2 / (1 + exp(2 x)), which is quicker than by tanh; the factors are in the weights.
+        factor = np.array([-1, -1, 2], f)[:, None, None, None]
+        self.bytes, self.own = (np.ascontiguousarray(x.reshape(2, -1, 3, n).transpose(2, 0, 1, 3) * factor, f) for x in (w, u))
+        self.bytes = self.bytes.reshape(-1, n)
         self.out = np.ascontiguousarray(net.p["V"].reshape(2, n, -1).transpose(0, 2, 1), f)
         # Windows of many labels are shorter.
         self.span = max(8 * CONTEXT, 4 * SPAN // max(4, len(net.labels)))
 
     def positions(self, x: np.ndarray) -> np.ndarray:
         """(positions, labels, windows): the probabilities at the positions between both contexts of windows, x (bytes, windows)."""
-        n, lanes, half, steps = self.net.width, x.shape[1], np.float32(0.5), len(x) - 2 * CONTEXT
-        below = np.zeros((2, n + len(self.bytes), lanes), np.float32)
-        h, e = below[:, :n], below[:, n:]
-        gates, own, new = np.empty((2, 2, n, lanes), np.float32), np.empty((2, n, lanes), np.float32), np.empty((2, n, lanes), np.float32)
-        r, z = gates
-        y, some = np.empty((steps, self.out.shape[1], lanes), np.float32), np.empty((CONTEXT, 2, self.out.shape[1], lanes), np.float32)
+        n, lanes, steps, f = self.net.width, x.shape[1], len(x) - 2 * CONTEXT, np.float32
+        h, own, read = np.zeros((2, lanes, n), f), np.empty((3, 2, lanes, n), f), np.empty((3, 2, lanes, n), f)
+        (r, z, add), new, gates, gates_read, columns = own, read[2], own[:2], read[:2], h.swapaxes(1, 2)
+        y, some = np.empty((steps, self.out.shape[1], lanes), f), np.empty((CONTEXT, 2, self.out.shape[1], lanes), f)
         y[:] = self.net.p["c"][:, None]
-        for at in range(-CONTEXT, steps, CONTEXT):
-            found = some[: min(CONTEXT, steps - at)]
-            for k in range(len(found)):
-                t = at + CONTEXT + k
-                np.take(self.bytes, x[t], axis=1, out=e[0], mode="clip")
-                np.take(self.bytes, x[-1 - t], axis=1, out=e[1], mode="clip")
-                np.matmul(self.gates, below, out=gates)
-                np.tanh(gates, out=gates)
-                np.add(gates, 1, out=gates)
-                np.matmul(self.own, h, out=own)
-                np.multiply(own, r, out=own)
-                np.matmul(self.news, e, out=new)
-                np.add(new, own, out=new)
-                np.tanh(new, out=new)
-                np.subtract(h, new, out=own)
-                np.multiply(own, z, out=own)
-                np.multiply(own, half, out=own)
-                np.add(own, new, out=h)
-                np.matmul(self.out, h, out=found[k])
-            if at >= 0:
-                y[at : at + len(found)] += found[:, 0]
-                y[steps - at - len(found) : steps - at] += found[::-1, 1]
+        table, rows = np.arange(6).reshape(3, 2, 1) * (NONE + 1), np.empty((CONTEXT, 3, 2, lanes), np.intp)
+        # An exponential may be infinite: its gate is 0, its new state 1.
+        with np.errstate(over="ignore"):
+            for at in range(-CONTEXT, steps, CONTEXT):
+                found, a = some[: min(CONTEXT, steps - at)], at + CONTEXT
+                np.add(np.stack([part[a : a + len(found)] for part in (x, x[::-1])], axis=1)[:, None], table, out=rows[: len(found)])
+                for k in range(len(found)):
+                    self.bytes.take(rows[k], axis=0, out=read, mode="clip")
+                    np.matmul(h, self.own, out=own)
+                    np.add(gates, gates_read, out=gates)
+                    np.exp(gates, out=gates)
+                    np.add(gates, 1, out=gates)
+                    np.divide(add, r, out=add)
+                    np.add(new, add, out=new)
+                    np.exp(new, out=new)
+                    np.add(new, 1, out=new)
+                    np.divide(-2, new, out=new)
+                    np.add(new, 1, out=new)
+                    np.subtract(h, new, out=h)
+                    np.divide(h, z, out=h)
+                    np.add(h, new, out=h)
+                    np.matmul(self.out, columns, out=found[k])
+                if at >= 0:
+                    y[at : at + len(found)] += found[:, 0]
+                    y[steps - at - len(found) : steps - at] += found[::-1, 1]
         for part in np.split(y, range(CONTEXT, len(y), CONTEXT)):
             part -= part.max(axis=1, keepdims=True)
             np.exp(part, out=part)

@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import warnings
 import zlib
 
 import numpy as np
@@ -669,6 +670,31 @@ def test_language_reader_on_a_text_of_many_windows(monkeypatch):
     assert np.allclose(cut[:, :-1].sum(axis=1), cut[:, -1], rtol=1e-5)
 
 
+def test_language_reader_work_for_a_byte(monkeypatch):
+    net, draw = language_id.ByteGru(list("abcd"), seed=7), np.random.default_rng(8)
+    texts = [draw.integers(97, 123, 1000).astype(np.uint8).tobytes() for _ in range(300)]
+    reader, done, matmul = net.reader(), [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, out: done.append(out.size * a.shape[-1]) or matmul(a, b, out=out))
+    got = reader.pooled(texts)
+    monkeypatch.undo()
+    # Each way a state takes part in two gates, a new state and the labels; what a byte adds is looked up.
+    assert sum(done) < 1.1 * 300_000 * 2 * (3 * net.width**2 + net.width * 4)
+    assert np.allclose(got[:, :-1].sum(axis=1), 1000, rtol=1e-5)
+
+
+def test_language_reader_with_shut_and_open_gates():
+    net, draw = language_id.ByteGru(["a", "b"], seed=9), np.random.default_rng(10)
+    for d in "fb":
+        net.p[f"W{d}"] *= 200  # exponentials overflow
+    x = draw.integers(97, 123, (40, 60)).astype(np.uint8)
+    y = np.concatenate([net._states(x, "f"), net._states(x[:, ::-1], "b")[::-1]], axis=2) @ net.p["V"] + net.p["c"]
+    y = np.exp(y - y.max(axis=2, keepdims=True))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        got = np.concatenate([net.reader().pooled([t.tobytes()]) for t in x])
+    assert np.allclose(got[:, :-1], (y / y.sum(axis=2, keepdims=True)).sum(axis=0), atol=1e-3)
+
+
 def test_language_id(spark):
     draw = random.Random(12)
     kinds = {"aa": ["katalo", "kimono", "takoma", "mokita"], "bb": ["frühst", "größe", "straße", "schüh"]}
