@@ -159,7 +159,7 @@ def q109_text_mesh(spark, sf_dir):
         .unionByName(say("region", 4, i, i + 1, i, 1 + i % 2))
     )
     head = spark.createDataFrame([(0, 0, f"{size} {n['nation']} {n['customer']} {n['region']}")], "k int, i long, value string")
-    head.unionByName(body).coalesce(1).sortWithinPartitions("k", "i").select("value").write.text(path)
+    mesh_io.write_lines(head.unionByName(body), ["k", "i"], F.col("value"), path, 1 + size + sum(n[k] for k in ("nation", "customer", "region")))
     mesh = mesh_io.read_text_mesh(spark, path)
     show = lambda name, a, b: mesh.sets[name].frame.select(F.lit(name).alias("part"), "id", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     out = show("nodes", "x__0", "x__1").unionByName(show("cells", "cell_nodes__0", "cell_nodes__3"))

@@ -9,12 +9,16 @@ from __future__ import annotations
 import json
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.operators.model import Dat, Mesh, MeshError, MeshMap, MeshSet, spark_type
 
 
+#: Lines of a text part, about; a task sorts those of one part.
+PART_LINES = 1 << 18
+
+
 def _text(spark: SparkSession, path: str) -> str:
     return "\n".join(r["value"] for r in spark.read.text(path).collect())
 
@@ -101,19 +105,20 @@ def read_text_mesh(spark: SparkSession, path: str, single: bool = False) -> Mesh
 
     Sections: ``x y`` of nodes, four nodes of cells, two nodes and two cells of
     edges, two nodes, a cell and a flag of boundary edges; numbers from 0.
-    Lines are numbered by the file's order, in two levels.
+    Lines are numbered by the order of the files' names and within a file, in two levels.
     """
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(F.length(F.trim("value")) > 0)
-    tasks = {r["t"]: r["n"] for r in lines.groupBy(F.shiftright("at", 33).alias("t")).agg(F.count("*").alias("n")).collect()}
+    # A block of a file is read by one task, in which ids increase.
+    block = F.format_string("%s:%020d", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    lines = spark.read.text(path).select("value", block.alias("t"), F.monotonically_increasing_id().alias("at")).where(F.length(F.trim("value")) > 0)
+    blocks = {r["t"]: r["n"] for r in lines.groupBy("t").agg(F.count("*").alias("n")).collect()}
     from pyspark.sql import Window
 
     before, run = [], 0
-    for t in sorted(tasks):
+    for t in sorted(blocks):
         before += [F.lit(t), F.lit(run)]
-        run += tasks[t]
-    task = F.shiftright("at", 33)
+        run += blocks[t]
     row = F.row_number().over(Window.partitionBy("t").orderBy("at")) - 1
-    numbered = lines.withColumn("t", task).select((F.create_map(*before)[F.col("t")] + row).alias("n"), F.split(F.trim("value"), r"\s+").alias("w"))
+    numbered = lines.select((F.create_map(*before)[F.col("t")] + row).alias("n"), F.split(F.trim("value"), r"\s+").alias("w"))
     head = numbered.where("n = 0").first()["w"]
     nnode, ncell, nedge, nbedge = (int(x) for x in head)
     mesh, start = Mesh(spark), 1
@@ -139,13 +144,20 @@ def read_text_mesh(spark: SparkSession, path: str, single: bool = False) -> Mesh
     return mesh
 
 
+def write_lines(rows: DataFrame, keys: list[str], line: Column, path: str, size: int) -> None:
+    """A line for each of ``size`` rows in order of the keys: in text parts by ranges of keys, which in order of their names are the whole text."""
+    parts = max(1, -(-size // PART_LINES))
+    rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def dump_text(dat: Dat, path: str) -> None:
-    """``size dim``, then a line for each element in order, each number as sign, 15 decimals and exponent."""
+    """``size dim``, then a line for each element in order, each number as sign, 15 decimals and exponent; in parts, as ``write_lines`` makes them."""
     f = dat.set.frame
     number = [F.format_string("%+.15E", F.when(F.col(c).cast("double") == 0, F.lit(0.0)).otherwise(F.col(c).cast("double"))) if spark_type(dat.type) in ("double", "float") else F.col(c).cast("string") for c in dat.columns]
-    head = f.sparkSession.createDataFrame([(-1, f"{dat.set.size} {dat.dim}")], "id bigint, value string")
-    body = f.select("id", F.concat(F.lit(" "), F.concat_ws("  ", *number)).alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("id").select("value").write.mode("overwrite").text(path)
+    head = f.sparkSession.createDataFrame([(0, f"{dat.set.size} {dat.dim}")], "__meshloom_kind int, __meshloom_head string")
+    rows = head.unionByName(f.select("id", *dat.columns, F.lit(1).alias("__meshloom_kind")), allowMissingColumns=True)
+    line = F.coalesce("__meshloom_head", F.concat(F.lit(" "), F.concat_ws("  ", *number)))
+    write_lines(rows, ["__meshloom_kind", "id"], line, path, dat.set.size + 1)
 
 
 def dump_binary(dat: Dat, path: str) -> None:

@@ -268,6 +268,26 @@ def test_text_mesh_and_dumps(spark, tmp_path):
     assert (size, dim) == (10, 1) and rows == [tuple(r[1:]) for r in mesh.fetch(mesh.dats["bedges", "bound"]).collect()]
 
 
+def test_text_dump_in_parts(spark, tmp_path, monkeypatch):
+    """No part has all lines; in order of their names the parts are the whole dump, and a text mesh in parts is read in order."""
+    monkeypatch.setattr(mesh_io, "PART_LINES", 100, raising=False)
+    mesh = Mesh(spark)
+    x = mesh.decl_dat(mesh.decl_set(1000, "nodes"), 2, "double", lambda i: [i, -i], "x")
+    mesh_io.dump_text(x, f"file://{tmp_path}/x")
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "x").glob("part-*"))]
+    assert len(parts) > 5 and max(map(len, parts)) < 400
+    lines = sum(parts, [])
+    assert lines[0] == "1000 2" and [tuple(map(float, n.split())) for n in lines[1:]] == [(i, -i) for i in range(1000)]
+    counts = (300, 200, 400, 50)
+    rows = [" ".join(map(str, counts)), *(f"{i} {-i}" for i in range(300)), *(f"{i} {i + 1} {i + 2} {i + 3}" for i in range(200)), *(f"{i % 300} {(i + 1) % 300} {i % 200} {(i + 1) % 200}" for i in range(400)), *(f"{i} {i + 1} {i} 1" for i in range(50))]
+    text = spark.createDataFrame(list(enumerate(rows)), "i long, value string")
+    mesh_io.write_lines(text, ["i"], F.col("value"), f"file://{tmp_path}/m", len(rows))
+    assert len(list((tmp_path / "m").glob("part-*"))) > 5
+    again = mesh_io.read_text_mesh(spark, f"file://{tmp_path}/m")
+    assert [tuple(r) for r in again.frames["nodes"].orderBy("id").select("id", "x__0").collect()] == [(i, float(i)) for i in range(300)]
+    assert [tuple(r) for r in again.frames["edges"].orderBy("id").select("id", "edge_cells__0").collect()] == [(i, i % 200) for i in range(400)]
+
+
 def test_partitions(spark):
     mesh = generate.channel(spark, 12, 8)
     cells, x = mesh.sets["cells"], mesh.dats["nodes", "x"]
