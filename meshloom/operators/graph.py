@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from meshloom.operators.model import Dat, Mesh, MeshError, MeshMap, MeshSet, cut, pinned
 
 
+#: Pairs that a task of a dual graph makes, on the average.
+PAIRS = 1 << 19
+
+
 def _slots(m: MeshMap) -> DataFrame:
     """(from, slot, to) of every entry, from one pass."""
     entries = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(c).alias("to")) for s, c in enumerate(m.columns)])
@@ -33,13 +37,17 @@ def dual_graph(ends: MeshMap, through: MeshMap) -> DataFrame:
     """(a, b), a <> b: targets of ``ends`` that some element of ``through``'s target set ties, by maps from one set.
 
     Each end counts once for each tie before the ties are joined, so the work
-    follows the distinct ends of a tie; the pairs are the result.
+    follows the distinct ends of a tie; the pairs are the result. Ties are dealt
+    to as many tasks as their pairs call for: a task keeps the pairs it has made,
+    so that they are fewer before they are shuffled.
     """
     if ends.source is not through.source:
         raise MeshError(f"{ends.name} and {through.name} come from different sets")
     frame = ends.source.frame
-    tied = frame.select(F.explode(F.array(*through.columns)).alias("t"), F.array(*ends.columns).alias("e")).select("t", F.explode("e").alias("a")).distinct()
-    return tied.join(tied.withColumnRenamed("a", "b"), "t").where("a <> b").select("a", "b").distinct()
+    tied = cut(frame.select(F.explode(F.array(*through.columns)).alias("t"), F.array(*ends.columns).alias("e")).select("t", F.explode("e").alias("a")).distinct())
+    made = tied.groupBy("t").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1))).first()[0] or 0
+    dealt = tied.repartition(max(1, -(-made // PAIRS)), "t")
+    return dealt.join(dealt.withColumnRenamed("a", "b"), "t").where("a <> b").select("a", "b").distinct()
 
 
 def degree(m: MeshMap) -> DataFrame:

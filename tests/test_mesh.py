@@ -288,6 +288,26 @@ def test_text_dump_in_parts(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in again.frames["edges"].orderBy("id").select("id", "edge_cells__0").collect()] == [(i, i % 200) for i in range(400)]
 
 
+def test_dual_graph_is_dealt_by_pairs(spark, monkeypatch):
+    """As many tasks join the ties as their pairs call for, and the pairs are all there."""
+    import re
+
+    monkeypatch.setattr(graph, "PAIRS", 500, raising=False)
+    mesh = Mesh(spark)
+    links, ends, ties = mesh.decl_set(3000, "links"), mesh.decl_set(97, "ends"), mesh.decl_set(400, "ties")
+    a = mesh.decl_map(links, ends, 1, lambda i: [i * i % 97], "a")
+    t = mesh.decl_map(links, ties, 1, lambda i: [i % 400], "t")
+    found = graph.dual_graph(a, t)
+    by_tie: dict[int, set] = {}
+    for i in range(3000):
+        by_tie.setdefault(i % 400, set()).add(i * i % 97)
+    want = {(x, y) for own in by_tie.values() for x in own for y in own if x != y}
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    made = sum(len(own) * (len(own) - 1) for own in by_tie.values())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert made > 5000 and {int(n) for n in re.findall(r"RepartitionByExpression \[t#\d+L?\], (\d+)", plan)} == {-(-made // 500)}
+
+
 def test_partitions(spark):
     mesh = generate.channel(spark, 12, 8)
     cells, x = mesh.sets["cells"], mesh.dats["nodes", "x"]
