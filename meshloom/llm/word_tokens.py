@@ -7,6 +7,7 @@ is encoded once by the library and kept, packed, in a bounded cache.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -19,6 +20,28 @@ SIGNS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Words of letters a-z and from U+00C0 to U+024F, which neither the normalizer nor the pre-tokenizer parts; not U+0130, whose lower case has a mark.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
 
+#: The pre-tokenizer's pattern, which leaves a plain word whole.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def plain_encoders(encoder) -> tuple:
+    """Encoders of plain words in lower case between spaces, of ASCII alone and of others, without the steps that leave those as they are; none where the steps aren't those known."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    if getattr(encoder, "normalizer", None) is None or getattr(encoder, "pre_tokenizer", None) is None:
+        return ()
+    first, then = (json.loads(x.__getstate__()) for x in (encoder.normalizer, encoder.pre_tokenizer))
+    before, steps = first.get("normalizers", []), then.get("pretokenizers", [])
+    if [x["type"] for x in before] != ["NFC", "Replace", "Lowercase"] or before[1]["pattern"] != {"Regex": r"\s+"} or before[1]["content"] != " ":
+        return ()
+    split = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+    if len(steps) != 2 or steps[0] != split or not {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}.items() <= steps[1].items():
+        return ()
+    ascii_, other = Tokenizer(encoder.model), Tokenizer(encoder.model)
+    ascii_.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return ascii_, other
+
 
 class WordIds:
     """Word (bytes) to its ids, packed as little-endian unsigned 32-bit integers.
@@ -34,6 +57,7 @@ class WordIds:
         self.encoder, self.limit, self.size = Tokenizer.from_file(path), limit, 0
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.plain_of, self.plain = self.encoder, plain_encoders(self.encoder)
         mark = self._ids(MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
         # Ids that end a word, where the vocabulary has a suffix for them.
@@ -74,29 +98,35 @@ class WordIds:
         return new.difference(known) if known else new
 
     def _encode(self, words: set[bytes]) -> None:
+        if self.plain_of is not self.encoder:
+            self.plain_of, self.plain = self.encoder, plain_encoders(self.encoder)
         plain = list(filter(PLAIN.fullmatch, words)) if self.ends.any() else []
         # Plain words are parted by their last ids; should those not tell them apart, they go with the others.
         rest = words.difference(plain)
-        for part, ids in self._batches(plain, " "):
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part) and int(cut[-1]) == len(ids):
-                self._cut(part, ids, cut, cut)
-            else:
-                rest.update(part)
+        kinds = [([w for w in plain if w.isascii()], self.plain[0]), ([w for w in plain if not w.isascii()], self.plain[1])] if self.plain else [(plain, self.encoder)]
+        for own, encoder in kinds:
+            for part, ids in self._batches(own, " ", encoder):
+                cut = np.flatnonzero(self.ends[ids]) + 1
+                if len(cut) == len(part) and int(cut[-1]) == len(ids):
+                    self._cut(part, ids, cut, cut)
+                else:
+                    rest.update(part)
         together = [w for w in rest if b"\x01" not in w and b"<|" not in w] if self.mark is not None else []
         for w in rest.difference(together):
             self._keep(w, self._ids(w.decode("utf-8", "replace")).tobytes())
-        for part, ids in self._batches(together, f" {MARK} "):
+        for part, ids in self._batches(together, f" {MARK} ", self.encoder):
             cut = np.flatnonzero(ids == self.mark)
             assert len(cut) == len(part) - 1, "the mark must stand alone"
             cut = np.append(cut, len(ids))
             self._cut(part, ids, cut, cut + 1)
 
-    def _batches(self, words: list[bytes], between: str, size: int = 500):
+    def _batches(self, words: list[bytes], between: str, encoder, size: int = 500):
         """(words, their ids in turn) of some words at a time, encoded as one text."""
         parts = [words[k : k + size] for k in range(0, len(words), size)]
         texts = [between.join([w.decode("utf-8", "replace") for w in part]) for part in parts]
-        for part, found in zip(parts, self.encoder.encode_batch_fast(texts, add_special_tokens=False) if texts else (), strict=True):
+        if encoder in self.plain:
+            texts = [t.lower() for t in texts]
+        for part, found in zip(parts, encoder.encode_batch_fast(texts, add_special_tokens=False) if texts else (), strict=True):
             yield part, np.array(found.ids, dtype="<u4")
 
     def _cut(self, words: list[bytes], ids: np.ndarray, end: np.ndarray, after: np.ndarray) -> None:

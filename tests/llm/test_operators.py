@@ -127,6 +127,23 @@ def test_word_cache_equals_the_library(encoder):
         assert np.frombuffer(cache.encode(t.encode()), "<u4").tolist() == encoder.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_plain_words_skip_the_pattern():
+    """Plain words go to encoders without the pattern, which give the ids of the whole library."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(word_tokens.default_vocabulary())
+    letters = [c for c in map(chr, [*range(0x61, 0x7B), *range(0xC0, 0x250)]) if word_tokens.PLAIN.fullmatch(c.encode())]
+    draw = random.Random(4)
+    words = letters + ["".join(draw.choices(letters[: 26 if k % 2 else None], k=draw.randint(1, 20))) for k in range(20000)]
+    cache, given = word_tokens.WordIds(word_tokens.default_vocabulary()), []
+    kept = cache._batches
+    cache._batches = lambda words, between, encoder, *a: given.append((len(words), encoder)) or kept(words, between, encoder, *a)
+    cache.learn({w.encode() for w in words})
+    assert all(encoder is not cache.encoder for n, encoder in given if n) and len(given) == 3
+    for w in words:
+        assert np.frombuffer(cache.young[w.encode()], "<u4").tolist() == whole.encode(w, add_special_tokens=False).ids, w
+
+
 def test_plain_words_need_no_mark(encoder):
     cache, draw, read = word_tokens.WordIds(word_tokens.default_vocabulary()), random.Random(8), []
     letters = "".join(map(chr, range(0xC0, 0x250)))
