@@ -31,8 +31,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import Cells, filesystem, id_and_text, scratch, slices, write_file
-from meshloom.llm.word_tokens import default_vocabulary, word_ids
+from meshloom.llm.common import Cells, filesystem, id_and_text, lean, scratch, write_file
+from meshloom.llm.word_columns import blocks, column_ids
+from meshloom.llm.word_tokens import default_vocabulary
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Ids after which a frame ends with the document.
@@ -118,19 +119,18 @@ class ShardReader:
 
 def _write(folder: str, vocabulary: str, end_id: int, frame_ids: int):
     def run(batches):
-        encode, end = word_ids(vocabulary).encode_all, end_id.to_bytes(4, "little")
-        cells = _runs(batches)
+        end = end_id.to_bytes(4, "little")
+        cells = _runs(batches, column_ids(vocabulary).encode)
         out: list[tuple] = []
         for cell, docs in cells:
             count = [0, 0]
 
             def encoded(docs=docs, count=count):
-                for some in _some(docs):
-                    for (i, _), ids in zip(some, encode([text for _, text in some]), strict=True):
-                        ids += end
-                        count[0] += 1
-                        count[1] += len(ids) // 4
-                        yield i, ids
+                for i, ids in docs:
+                    ids += end
+                    count[0] += 1
+                    count[1] += len(ids) // 4
+                    yield i, ids
 
             path = f"{folder}/cell-{cell:010d}.ids.zst"
             write_file(path, encode_shard(encoded(), frame_ids))
@@ -141,22 +141,9 @@ def _write(folder: str, vocabulary: str, end_id: int, frame_ids: int):
     return run
 
 
-def _some(docs, size: int = 256 << 10):
-    """The rows (id, text) in lists of about so many bytes of texts."""
-    held, total = [], 0
-    for row in docs:
-        held.append(row)
-        total += len(row[1]) + 64
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
-
-
-def _runs(batches):
-    """(cell, its rows) for batches of (cell, id, text) in order of the cell; rows are read as they are used."""
-    rows = ((c, i, t) for b in slices(batches) for c, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True))
+def _runs(batches, encode):
+    """(cell, its rows with their ids) for batches of (cell, id, text) in order of the cell; rows are read as they are used."""
+    rows = ((c, i, ids) for b in blocks(batches, 2) for c, i, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encode(b.column(2)), strict=True))
     held = next(rows, None)
 
     def own(cell):
@@ -182,7 +169,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     cells = Cells(docs, id_col, text_col)
     rows = id_and_text(docs, id_col, text_col)
     dealt = rows.select(F.shiftright(cells.of(F.col("id")), 1).alias("cell"), "id", "text").repartition(len(cells), "cell").sortWithinPartitions("cell", "id", "text")
-    made = dealt.mapInArrow(_write(folder, vocabulary or default_vocabulary(), end_id, frame_ids), "cell long, path string, docs long, ids long")
+    made = dealt.mapInArrow(lean(_write(folder, vocabulary or default_vocabulary(), end_id, frame_ids)), "cell long, path string, docs long, ids long")
     return sorted(tuple(r) for r in made.collect())
 
 
