@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import id_and_text, lean, slices, spool
-from meshloom.llm.word_tokens import default_vocabulary, word_ids
+from meshloom.llm.common import id_and_text, lean, spool
+from meshloom.llm.word_columns import blocks, column_ids
+from meshloom.llm.word_tokens import default_vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
@@ -122,12 +123,12 @@ def _pieces(vocabulary: str, capacity: int, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, end, task = word_ids(vocabulary).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        encode, end, task = column_ids(vocabulary).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in slices(batches):
+        for batch in blocks(batches, 1):
             out: list[list] = [[] for _ in range(7)]
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                for piece, start, length, crc in cut(encode(text) + end, capacity):
+            for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                for piece, start, length, crc in cut(ids + end, capacity):
                     for c, v in zip(out, (i, piece, start, length, crc, task, seen[length]), strict=True):
                         c.append(v)
                     seen[length] += 1

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from meshloom.llm import token_files, word_columns, word_tokens
+from meshloom.llm import packing, token_files, word_columns, word_tokens
 
 VOCABULARY = word_tokens.default_vocabulary()
 
@@ -92,3 +92,16 @@ def test_token_files_leave_plain_words_to_arrays(monkeypatch, tmp_path):
     words = word_tokens.WordIds(VOCABULARY)
     got = [(i, ids.tolist()) for path in made[0].column(1).to_pylist() for i, ids in token_files.ShardReader(path)]
     assert got == [(k, np.frombuffer(words.encode(t.encode()), "<u4").tolist() + [1]) for k, t in enumerate(texts)]
+
+
+def test_packing_leaves_plain_words_to_arrays(monkeypatch):
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 7})())
+    texts = plain_texts()
+    batch = pa.RecordBatch.from_pydict({"id": list(range(100)), "text": texts})
+    made = []
+    seen = learned_by(monkeypatch, lambda: made.extend(packing._pieces(VOCABULARY, 64, 1)([batch])))
+    assert seen <= {b"", b".", b","}
+    words, want = word_tokens.WordIds(VOCABULARY), []
+    for k, t in enumerate(texts):
+        want += [(k, *piece) for piece in packing.cut(words.encode(t.encode()) + b"\1\0\0\0", 64)]
+    assert [tuple(r.values())[:5] for b in made for r in b.to_pylist()] == want
